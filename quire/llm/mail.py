@@ -149,3 +149,79 @@ def all_text(raw: str | None) -> str:
         elif p.ctype.startswith(("text/", "message/")) or (p.text.isprintable() or "�" not in p.text[:200] and sum(c < " " and c not in "\n\t" for c in p.text[:200]) == 0):
             said.append(p.text)
     return "\n\n".join(said)
+
+
+# --- the sender's own text -------------------------------------------------------------------------------------------
+
+_HAN = re.compile("[㐀-鿿]")
+_WIDE = frozenset("，。；：、（）“”！？")
+_QUOTED = re.compile(r"^[ \t]*[>|]")
+_ATTRIBUTION = re.compile(r"^(?:.{0,160}(?:\bwrote|写道|escribió|schrieb\b.{0,80}|a écrit)\s*[:：]|.{0,160}\bschrieb .{1,80}:)\s*$")
+_ORIGINAL = re.compile(r"^[-_ ]{2,}\s*(?:original message|forwarded message|ursprüngliche nachricht|mensaje original|mensaje reenviado|原始邮件|转发邮件).*$", re.I)
+_FIELD = re.compile(r"^(?:from|sent|to|cc|subject|date|von|gesendet|an|betreff|de|enviado|para|asunto|fecha|发件人|发送时间|收件人|主题|抄送|日期)\s*[:：]", re.I)
+_RULE = re.compile(r"^[_=*-]{8,}\s*$")
+_SENTENCE = re.compile(r"(?<=[.!?])[\"”’)]*\s+(?=\S)|(?<=[。！？])")
+
+
+def own_text(parts: list[Part]) -> list[str]:
+    """The sender's paragraphs in the first plain part that isn't attached, or in the first HTML one if that says far more."""
+    plain = next((own_paragraphs(p.text) for p in parts if p.ctype == "text/plain" and not p.attached), [])
+    rich = next((own_paragraphs(html_text(p.text, keep_quotes=False)) for p in parts if p.ctype == "text/html" and not p.attached), [])
+    return rich if sum(map(len, rich)) > 1.5 * sum(map(len, plain)) else plain
+
+
+def own_paragraphs(body: str) -> list[str]:
+    """Paragraphs that the sender wrote: no quoted lines and their attributions, signature, list footer."""
+    out: list[str] = []
+    para: list[str] = []
+    lines = body.split("\n")
+    quoted = [bool(_QUOTED.match(x)) for x in lines]
+    any_after = [False] * (len(lines) + 1)
+    for i in range(len(lines) - 1, -1, -1):
+        any_after[i] = any_after[i + 1] or quoted[i]
+    signature = forwarded = False
+
+    def flush() -> None:
+        if para:
+            text = para[0]
+            for line in para[1:]:  # ideographs are wrapped without a blank
+                text += line if _HAN.match(text[-1:]) or _HAN.match(line) or text[-1:] in _WIDE else " " + line
+            out.append(text)
+            para.clear()
+
+    for i, line in enumerate(lines):
+        bare = line.strip()
+        if line.rstrip("\r") in ("-- ", "--") or bare == "--":
+            flush()
+            signature = True
+        elif not bare:
+            flush()
+            signature = False
+            forwarded = False
+        elif signature:
+            continue
+        elif quoted[i]:
+            flush()
+            forwarded = False
+        elif _ORIGINAL.match(bare):
+            flush()
+            if not any_after[i]:
+                return out  # everything below was pasted without marks
+            forwarded = True
+        elif _RULE.match(bare):
+            flush()
+            if not any(quoted[i:]):
+                return out
+            signature = True  # a footer block above a quotation
+        elif forwarded and _FIELD.match(bare):
+            continue
+        elif _ATTRIBUTION.match(bare):
+            flush()
+        else:
+            para.append(bare)
+    flush()
+    return out
+
+
+def sentences(paragraph: str) -> list[str]:
+    return [s for s in (x.strip() for x in _SENTENCE.split(paragraph)) if s]
