@@ -134,17 +134,25 @@ def fit_lexicon(sample: list[tuple[list[str], set[str]]], exam: list[str], subje
 def fit_votes(counts: dict[tuple, float], rounds: int = 50) -> tuple[dict[tuple, float], dict]:
     """Posterior of the subject for every vote pattern, by EM over pattern counts with independent functions.
 
-    ``counts``: (lexicon level, section, address, source) -> documents. Also gives the learned tables.
+    ``counts``: (lexicon level, section, address, source, label) -> documents; the label is 1 or 0 where annotators have
+    spoken and -1 elsewhere. Annotators are a function like the others, with an accuracy to be learned. Unlabelled
+    documents together weigh as much as the labelled ones (EM with down-weighted unlabelled data), so that functions
+    which only fire for a message's main subject don't redefine what a subject is. Also gives the learned tables.
     """
-    pats = list(product(range(LEVELS), (0, 1), (0, 1), (0, 1)))
-    n = np.array([counts.get(x, 0.0) for x in pats])
+    pats = list(product(range(LEVELS), (0, 1), (0, 1), (0, 1), (-1, 0, 1)))
+    n = np.array([float(counts.get(x, 0.0)) for x in pats])
     vote = np.array(pats)
+    known = vote[:, 4] >= 0
+    labelled, rest = n[known].sum(), n[~known].sum()
+    if labelled:
+        n[~known] *= min(1.0, labelled / max(rest, 1.0))
     q = np.where(vote[:, 0] >= 2, 0.9, np.where(vote[:, 0] == 1, 0.2, 0.02))
+    q = np.where(vote[:, 4] == 1, np.maximum(q, 0.9), np.where(vote[:, 4] == 0, q * 0.3, q))
     kinds = [LEVELS, 2, 2, 2]
     learned: dict = {}
     for _ in range(rounds):
         like = np.zeros((2, len(pats)))
-        learned = {"share": float((n * q).sum() / max(n.sum(), 1))}
+        learned = {"share": float((n * q).sum() / max(n.sum(), 1e-9))}
         for y, w in enumerate((n * (1 - q), n * q)):
             like[y] = np.log(max(w.sum(), 1e-9) / max(n.sum(), 1e-9))
             for j, k in enumerate(kinds):
@@ -152,8 +160,15 @@ def fit_votes(counts: dict[tuple, float], rounds: int = 50) -> tuple[dict[tuple,
                 t /= t.sum()
                 learned[j, y] = t.tolist()
                 like[y] += np.log(t[vote[:, j]])
+            t = np.bincount(vote[known, 4], w[known], 2) + (np.array([9.0, 1.0]) if y == 0 else np.array([1.0, 9.0]))
+            t /= t.sum()
+            learned["label", y] = t.tolist()
+            free = like[y].copy()
+            like[y] += np.where(known, np.log(t[np.maximum(vote[:, 4], 0)]), 0.0)
+            learned["free", y] = free
         q = 1 / (1 + np.exp(np.clip(like[0] - like[1], -50, 50)))
-    return dict(zip(pats, q.tolist())), learned
+    post = 1 / (1 + np.exp(np.clip(learned.pop(("free", 0)) - learned.pop(("free", 1)), -50, 50)))
+    return {p[:4]: float(post[k]) for k, p in enumerate(pats) if p[4] == -1}, learned
 
 
 def _consensus(labels: DataFrame) -> DataFrame:
@@ -180,12 +195,13 @@ def _majority(sample: list, column: int, subjects: list[str]) -> dict:
     return out
 
 
-def subject_votes(docs: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame | None = None, sample_docs: int = 8000) -> tuple[DataFrame, list[str]]:
-    """(doc_id, subject, level, section, address, source_vote) for every document and subject with at least one vote."""
+def subject_votes(docs: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame | None = None, sample_docs: int = 8000) -> tuple[DataFrame, list[str], dict]:
+    """(votes, subjects, labelled): doc_id, subject, level, section, address, source_vote and label for every document and
+    subject with at least one vote; ``labelled`` has the sample's (label 0, label 1) documents by subject."""
     subjects = [r.subject for r in areas.select("subject").filter("subject IS NOT NULL").distinct().orderBy("subject").collect()]
     d = docs.select("doc_id", "text", F.lower(F.trim("mailbox")).alias("mailbox"), F.regexp_replace(F.lower(F.trim("source")), "[-\\s]+", "_").alias("source"))
     stock = stock_paragraphs(d, "text")
-    chosen = _consensus(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    chosen = materialise(_consensus(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
 
     def own(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in pdfs:
@@ -226,7 +242,11 @@ def subject_votes(docs: DataFrame, labels: DataFrame, areas: DataFrame, items: D
             arrays = [b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int32()) for c in cols[2:])]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return d.select("doc_id", "text", "mailbox", "source").mapInArrow(vote, schema), subjects
+    votes = d.select("doc_id", "text", "mailbox", "source").mapInArrow(vote, schema)
+    # at most sample_docs rows
+    votes = votes.join(F.broadcast(chosen), "doc_id", "left").select(*schema.names, F.when(F.isnull("subjects"), -1).otherwise(F.array_contains("subjects", F.col("subject")).cast("int")).alias("label"))
+    yes = Counter(x for r in sample for x in r[1])
+    return votes, subjects, {x: (len(sample) - yes[x], yes[x]) for x in subjects}
 
 
 def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame | None = None, sample_docs: int = 8000, threshold: float = 0.5) -> DataFrame:
@@ -236,16 +256,19 @@ def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, item
     the exam terms of ``items``. A repeated doc_id gives its rows again. Labels of unknown documents or subjects are
     ignored. Columns beyond those used are ignored.
     """
-    votes, subjects = subject_votes(docs, labels, areas, items, sample_docs)
+    votes, subjects, labelled = subject_votes(docs, labels, areas, items, sample_docs)
     votes = materialise(votes)
     total = docs.count()
     pattern = ["level", "section", "address", "source_vote"]
-    counts: dict[str, dict] = {s: {} for s in subjects}
-    for r in votes.groupBy("subject", *pattern).count().collect():  # at most 32 a subject
-        counts[r.subject][r.level, r.section, r.address, r.source_vote] = r["count"]
+    counts: dict[str, Counter] = {s: Counter() for s in subjects}
+    for r in votes.groupBy("subject", *pattern, "label").count().collect():  # at most 96 a subject
+        counts[r.subject][r.level, r.section, r.address, r.source_vote, r.label] = r["count"]
     rows = []
     for s, c in counts.items():
-        c[0, 0, 0, 0] = total - sum(c.values())
+        seen = {x: sum(n for k, n in c.items() if k[4] == x) for x in (-1, 0, 1)}
+        silent = (0, 0, 0, 0)
+        c[(*silent, 0)], c[(*silent, 1)] = (max(0, labelled[s][x] - seen[x]) for x in (0, 1))
+        c[(*silent, -1)] = max(0, total - sum(labelled[s]) - seen[-1])
         rows += [(s, *p, q) for p, q in fit_votes(c)[0].items() if q >= threshold and any(p)]
     post = docs.sparkSession.createDataFrame(rows, "subject string, level int, section int, address int, source_vote int, probability double")
     return votes.join(F.broadcast(post), ["subject", *pattern]).select("doc_id", "subject", "probability")
