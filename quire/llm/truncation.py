@@ -74,12 +74,19 @@ def _tidy(text, title):  # noqa: ANN001, ANN202
     return pd.Series([None if x is None else "\n".join(split_lines(x, y)[0]) for x, y in zip(a, b)])
 
 
-def _ends(body: Column) -> dict[str, Column]:
-    dots = body.rlike(r"(?:…|\.\.\.)\s*$")
+def _end(text: Column, n: int = 48) -> Column:
+    """The last ``n`` characters without trailing blanks; all patterns look at these alone, so they cost the same for any length."""
+    return F.right(F.rtrim(text), F.lit(n))
+
+
+def _ends(end: Column) -> dict[str, Column]:
+    dots = end.endswith("…") | end.endswith("...")
     return {
         "dots": dots,
-        "tail": F.when(dots, F.right(F.regexp_replace(body, r"[^\p{L}\p{N}]", ""), F.lit(TAIL))),
-        "open": ~body.rlike(rf"[{TERMINAL}]\s*$") | body.rlike(r"\p{IsHan}[^。？！]*\d\.\s*$"),
+        "tail": F.when(dots, F.right(F.regexp_replace(end, r"[^\p{L}\p{N}]", ""), F.lit(TAIL))),
+        "open": ~end.rlike(rf"[{TERMINAL}]\s*$") | end.rlike(r"\p{IsHan}[^。？！]*\d\.\s*$"),
+        "number": end.rlike(r"\d\.\s*$"),
+        "broken": end.rlike("\ufffd\\s*$"),
     }
 
 
@@ -96,17 +103,17 @@ def truncated(blocks: DataFrame, exams: DataFrame, scan_sources: tuple[str, ...]
     lost = use.join(exams.select("doc_id").distinct(), "doc_id", "left_anti").select("block_id", "block_type", "content", "text_level", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("title"))
     rows = known.unionByName(lost)
     prose = (F.col("block_type") == "text") & (F.coalesce("text_level", F.lit(0)) != 1)
-    need = prose & (F.col("source").isin(*scan_sources) | F.col("content").rlike(r"(?:…|\.\.\.)\s*$"))
+    need = prose & (F.col("source").isin(*scan_sources) | _end(F.col("content"), 4).rlike(r"(?:…|\.\.\.)\s*$"))
     body = F.coalesce(F.col("tidy"), F.col("content"), F.lit(""))
     rows = rows.withColumn("tidy", _tidy(F.when(need, F.col("content")), F.when(need, F.col("title"))))
-    e = _ends(body)
-    markup = (
-        (body.contains("<table") & ~body.contains("</table>"))
-        | (F.pmod(F.size(F.split(body, r"\$\$")) - 1, F.lit(2)) == 1)
-        | ((F.col("block_type") != "table") & (F.pmod(F.size(F.split(F.regexp_replace(body, r"\\\$|\$\$", ""), r"\$")) - 1, F.lit(2)) == 1))
-        | (F.size(F.split(body, r"\\begin\{")) > F.size(F.split(body, r"\\end\{")))
-    )
-    option = body.rlike(r"^\s*[(（]?[A-H][.．、)）:：]")
+    e = _ends(_end(body))
+    plain = F.replace(body, F.lit("\\$"))
+    dollars = F.length(plain) - F.length(F.replace(plain, F.lit("$")))
+    double = (F.length(plain) - F.length(F.replace(plain, F.lit("$$")))) / 2
+    opened = (F.length(body) - F.length(F.replace(body, F.lit("\\begin{")))) / 7
+    closed = (F.length(body) - F.length(F.replace(body, F.lit("\\end{")))) / 5
+    markup = (body.contains("<table") & ~body.contains("</table>")) | (double % 2 == 1) | ((F.col("block_type") != "table") & ((dollars - 2 * double) % 2 == 1)) | (opened > closed)
+    option = F.left(F.ltrim(body), F.lit(4)).rlike(r"^\s*[(（]?[A-H][.．、)）:：]")
     rows = materialise(
         rows.select(
             "block_id",
@@ -118,11 +125,11 @@ def truncated(blocks: DataFrame, exams: DataFrame, scan_sources: tuple[str, ...]
             (prose & (F.length(F.trim(body)) > 0) & ~option).alias("prose"),
             (F.length(F.trim(body)) >= MIN_PROSE).alias("long"),
             F.coalesce(markup, F.lit(False)).alias("markup"),
-            (body.rlike("�\\s*$")).alias("broken"),
+            e["broken"].alias("broken"),
             e["dots"].alias("dots"),
             e["tail"].alias("tail"),
             e["open"].alias("open"),
-            body.rlike(r"\d\.\s*$").alias("number"),
+            e["number"].alias("number"),
         ).dropDuplicates(["block_id"])
     )
     longer = strict_prefixes(blocks.filter(F.col("block_type").isin("text", "equation", "table")), "content")
