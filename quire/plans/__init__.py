@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("segments", "packed")
+MODULES = ("segments", "texts", "figures", "packed")
 
 
 def queries() -> dict:
