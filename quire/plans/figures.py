@@ -53,17 +53,6 @@ def img_warnings(s: SparkSession, d: str) -> DataFrame:
     return P.image_warnings(_blocks(s, d))
 
 
-def img_quota(s: SparkSession, d: str) -> DataFrame:
-    """Images per question after each question keeps only as many as it refers to and hands on the rest."""
-    b = _blocks(s, d).filter("q_ord IS NOT NULL")
-    text = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.when(F.col("block_type") == "text", F.struct("block_ord", "block_id", "content")))), lambda x: x["content"]))
-    imgs = F.transform(F.array_sort(F.collect_list(F.when((F.col("block_type") == "image") & F.col("img_path").isNotNull(), F.struct("block_ord", "block_id", "img_path")))), lambda x: x["img_path"])
-    q = b.groupBy("doc_id", "q_ord").agg(text.alias("t"), imgs.alias("i"))
-    e = q.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("q_ord", "t", "i"))).alias("qs"))
-    r = e.select("doc_id", F.transform("qs", lambda x: x["q_ord"]).alias("ords"), S.figure_quota(F.transform("qs", lambda x: x["t"]), F.transform("qs", lambda x: x["i"])).alias("kept"))
-    return r.select("doc_id", F.explode(F.arrays_zip("ords", "kept")).alias("z")).select("doc_id", F.col("z.ords").alias("q_ord"), F.size("z.kept").alias("n_images"))
-
-
 def block_centres(s: SparkSession, d: str) -> DataFrame:
     return P.centres(_blocks(s, d)).groupBy("doc_id", "sheet", "side").agg(F.round(F.avg("x_mid"), 4).alias("x_mid"), F.round(F.avg("y_mid"), 4).alias("y_mid"), F.count("*").alias("n"))
 
@@ -99,7 +88,7 @@ def layout_ranges(s: SparkSession, d: str) -> DataFrame:
 
 _B = "WITH b AS (SELECT DISTINCT block_id, doc_id, block_ord, q_ord, block_type, content, bbox, page_idx, img_path, col_side, least(bbox[1], bbox[3]) AS x0, greatest(bbox[1], bbox[3]) AS x1, least(bbox[2], bbox[4]) AS y0, greatest(bbox[2], bbox[4]) AS y1 FROM blocks)"
 _NAME = lambda c: B.ext(c, "([^/\\\\]*)$", 1)
-QUERIES = {f.__name__: f for f in (img_range, img_nearest, img_relink, img_orphan, img_fill, img_rank, tiny_image, img_warnings, img_quota, block_centres, a3_pages, a3_sides, a3_join, layout_multi, layout_ranges)}
+QUERIES = {f.__name__: f for f in (img_range, img_nearest, img_relink, img_orphan, img_fill, img_rank, tiny_image, img_warnings, block_centres, a3_pages, a3_sides, a3_join, layout_multi, layout_ranges)}
 ORACLE = {
     "img_range": f"{_B}, p AS (SELECT *, coalesce(y0, (row_number() OVER w - 1)::DOUBLE / count(*) OVER (PARTITION BY doc_id, page_idx, block_type) * 842) AS y FROM b WINDOW w AS (PARTITION BY doc_id, page_idx, block_type ORDER BY block_ord, block_id)),"
     " qy AS (SELECT doc_id, page_idx, q_ord AS q, min(y) AS y FROM p WHERE q_ord IS NOT NULL AND block_type <> 'image' GROUP BY ALL), i AS (SELECT * FROM p WHERE block_type = 'image')"
