@@ -27,18 +27,23 @@ def _valid(m: re.Match) -> tuple[int, int] | None:
 def ranges_in(text: str) -> dict[str, tuple[int, int]]:
     """{kind: (first, last)} of one page's text.
 
-    A heading of a kind takes the first range from 30 characters before its end to 250 after; then ``a至b题`` followed by
-    a tell-tale within 15 characters; at last two adjoining ranges are single and multiple.
+    A heading of a kind takes the first range of the 250 characters after it, up to the next heading, else one in the 30
+    characters before it; then ``a至b题`` followed by a tell-tale within 15 characters; at last two adjoining ranges are
+    single and multiple.
     """
     marks = [(m.start(), 0 if k == "multi" else 1, m.end(), k) for k, words in KINDS.items() for w in words for m in re.finditer(w, text)]
     marks += [(m.start(), 0 if k == "multi" else 1, m.end(), k) for k, p in BARE.items() for m in p.finditer(text)]
     out: dict[str, tuple[int, int]] = {}
     end, last = -100, ""
+    heads = []
     for start, _, stop, kind in sorted(marks):
-        if kind == last and start < end + 20:
-            continue
-        end, last = stop, kind
-        found = next((v for m in RANGE.finditer(text[max(0, stop - 30) : stop + 250]) if (v := _valid(m))), None)
+        if not (kind == last and start < end + 20):
+            heads.append((start, stop, kind))
+            end, last = stop, kind
+    limits = [h[0] for h in heads[1:]] + [len(text)]
+    for (start, stop, kind), limit in zip(heads, limits):
+        areas = (text[stop : min(stop + 250, max(limit, stop))], text[max(0, stop - 30) : start])
+        found = next((v for a in areas for m in RANGE.finditer(a) if (v := _valid(m))), None)
         if found and kind not in out:
             out[kind] = found
     whole = [(m, v) for m in RANGE.finditer(text) if (v := _valid(m))]

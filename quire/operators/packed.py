@@ -60,6 +60,13 @@ class _Flat:
         self.space = np.isin(cp, SPACE)
         size = len(cp)
         # nearest non-blank neighbour to the left and right, within the element (-1: none)
+        bar = cp == ord("|")
+        # |x| : bar, one letter, bar, followed by a blank or a comparison
+        one, two, three = self.next(1), self.next(2), self.next(3)
+        word = ((one >= ord("a")) & (one <= ord("z"))) | ((one >= ord("A")) & (one <= ord("Z")))
+        start = bar & word & (two == ord("|")) & np.isin(three, _o(" <>=≤≥+-"))
+        self.absolute = start.copy()
+        self.absolute[2:] |= start[:-2]
         solid = np.where(~self.space, self.at, -1)
         left = np.concatenate([[-1], np.maximum.accumulate(solid)[:-1]]) if size else solid
         self.left = np.where(left >= off[self.own], left, -1) if size else left
@@ -183,14 +190,8 @@ def _labels(f: _Flat) -> tuple[np.ndarray, np.ndarray]:
 def _delims(f: _Flat, hidden: np.ndarray, opening: np.ndarray, closing: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """For each delimiter: (start, end) of its occurrences that may cut."""
     free = ~hidden & ~opening & ~closing
-    bar = f.cp == ord("|")
-    # |x| : bar, one letter, bar, followed by a blank or a comparison
-    nxt, nx2, nx3 = f.next(1), f.next(2), f.next(3)
-    word = ((nxt >= ord("a")) & (nxt <= ord("z"))) | ((nxt >= ord("A")) & (nxt <= ord("Z")))
-    size = bar & word & (nx2 == ord("|")) & np.isin(nx3, _o(" <>=≤≥+-"))
-    absolute = size.copy()
-    absolute[2:] |= size[:-2]
-    bar &= ~absolute & free
+    nxt = f.next(1)
+    bar = (f.cp == ord("|")) & ~f.absolute & free
     double = np.zeros(len(bar), bool)
     if len(bar) > 1:
         run = f.own[:-1] == f.own[1:]
@@ -223,6 +224,9 @@ def _delims(f: _Flat, hidden: np.ndarray, opening: np.ndarray, closing: np.ndarr
 
 def _pieces(f: _Flat, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Non-empty trimmed pieces (element, from, to) between cuts [start, end)."""
+    if not len(f.cp):
+        none = np.zeros(0, np.int64)
+        return none, none, none
     order = np.argsort(start, kind="stable")
     start, end = start[order], end[order]
     own = f.own[start] if len(start) else np.zeros(0, np.int64)
@@ -234,7 +238,7 @@ def _pieces(f: _Flat, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, n
     stop = np.concatenate([start, hi[: f.n]])
     o2 = np.lexsort((stop, np.concatenate([own, np.arange(f.n)])))
     stop = stop[o2]
-    trim = np.isin(f.cp, TRIM)
+    trim = np.isin(f.cp, TRIM) & ~f.absolute
     solid = np.concatenate([[0], np.cumsum(~trim)])
     keep = solid[np.maximum(stop, lo)] > solid[lo]
     el, lo, stop = el[keep], lo[keep], stop[keep]
@@ -302,14 +306,23 @@ def cut_elements(child: pa.Array, alone: np.ndarray, weak_min: int = 3) -> tuple
     if len(lo):
         wrapped = opening[lo] & closing[hi - 1] & (hi - lo > 1) & (which[el] >= 0)
         lo, hi = lo + wrapped, hi - wrapped
+    else:
+        wrapped = np.zeros(0, bool)
     keep = hi > lo
-    el, lo, hi = el[keep], lo[keep], hi[keep]
+    el, lo, hi, wrapped = el[keep], lo[keep], hi[keep], wrapped[keep]
     length = hi - lo
     src = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]) if len(lo) else lo, length) + np.arange(length.sum())
     drop = np.zeros(len(cp), bool)
     if len(cp):
         q = f.cp == ord('"')
-        drop = inside & (((f.cp == ord("\\")) & (f.next() == ord('"'))) | (q & (f.next() == ord('"')) & ~opening))
+        begin = np.maximum.accumulate(np.where(q & ~np.concatenate([[False], q[:-1]]), f.at, -1))
+        inner = np.zeros(len(cp) + 1, np.int64)  # within a value that was wrapped in quotes
+        np.add.at(inner, lo[wrapped], 1)
+        np.add.at(inner, hi[wrapped], -1)
+        inner = np.cumsum(inner)
+        begin = np.maximum(begin, np.repeat(lo, length)[np.searchsorted(src, f.at).clip(0, max(len(src) - 1, 0))] if len(src) else begin)
+        doubled = q & (f.next() == ord('"')) & ((f.at - begin) % 2 == 0) & (inner[:-1] > 0) & (inner[1:] > 0)
+        drop = doubled | ((f.cp == ord("\\")) & (f.next() == ord('"')) & (inner[:-1] > 0))
     kept = ~drop[src]
     out_off = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(length)])]
     return el, to_strings(cp[src][kept], out_off), np.bincount(el, minlength=f.n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("segments", "texts", "figures", "records", "packed")
+MODULES = ("segments", "texts", "figures", "records", "relational", "packed")
 
 
 def queries() -> dict:
