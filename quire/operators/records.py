@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions import rx
 from quire.functions.text import semver
@@ -35,23 +42,48 @@ def insert_new(bank: DataFrame, drafts: DataFrame, text: str) -> tuple[DataFrame
     return new, total.withColumn("skipped", F.col("drafts") - F.col("inserted"))
 
 
-def shingle_set(c: Column, words: int) -> Column:
-    """Distinct hashes of runs of ``words`` words (an ideograph is a word)."""
-    w = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"([a-zà-ÿ0-9]+|{rx.HAN})"), F.lit(1))
-    at = F.sequence(F.lit(1), F.size(w) - words + 1)
-    return F.when(F.size(w) >= words, F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " "))))).otherwise(F.array().cast("array<bigint>"))
+TOKEN = re.compile("[a-zà-ÿ0-9]+|[一-鿿]")
+
+
+def shingle_sets(df: DataFrame, text: str, id_col: str, words: int) -> DataFrame:
+    """(id, s): sorted distinct hashes of runs of ``words`` words (an ideograph is a word), a batch at a time. Narrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            sets = []
+            for t in b.column(1).to_pylist():
+                w = TOKEN.findall(t.lower()) if t else []
+                code = np.array([known.get(x) or known.setdefault(x, xxhash.xxh64_intdigest(x) or 1) for x in w], np.uint64)
+                h = np.zeros(max(0, len(w) - words + 1), np.uint64)
+                with np.errstate(over="ignore"):
+                    for i in range(words if len(h) else 0):
+                        h = (h ^ code[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+                        h ^= h >> np.uint64(29)
+                sets.append(np.unique(h.view(np.int64)))
+            off = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["id", "s"])
+            if len(known) > 1_000_000:
+                known.clear()
+
+    return df.select(F.col(id_col).alias("id"), text).mapInArrow(run, T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("s", T.ArrayType(T.LongType()))]))
 
 
 def dedup_jaccard(df: DataFrame, text: str, id_col: str, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(id_a, id_b, similarity): pairs of different texts whose word shingles overlap by ``threshold`` or more; exact.
 
-    Prefix filter: two such sets must share one of their first n - ceil(threshold * n) + 1 shingles in any fixed order;
-    hash order is used, which needs no counting pass. Equal sets are joined once, through the smallest id of each.
-    Texts shorter than ``words`` words have no shingles and no pairs.
+    Prefix filter: two such sets must share one of their first n - ceil(threshold * n) + 1 shingles in any fixed order.
+    The order is by how many sets hold a shingle, rarest first, so that shared phrases stay out of the prefixes; those in
+    one set only are not joined. Equal sets are joined once, through the smallest id of each. Texts shorter than ``words``
+    words have no shingles and no pairs.
     """
-    s = df.select(F.col(id_col).alias("id"), F.array_sort(shingle_set(F.col(text), words)).alias("s")).filter(F.size("s") > 0)
+    s = shingle_sets(df, text, id_col, words).filter(F.size("s") > 0)
     rep = s.groupBy("s").agg(F.min("id").alias("id")).withColumn("n", F.size("s"))
-    head = rep.select("id", "n", F.explode(F.expr(f"slice(s, 1, n - CAST(ceil({threshold} * n - 1e-9) AS INT) + 1)")).alias("h"))
+    tok = rep.select("id", "n", F.explode("s").alias("h"))
+    held = tok.groupBy("h").agg(F.count("*").alias("held"))
+    rank = F.row_number().over(W.partitionBy("id").orderBy("held", "h"))
+    head = tok.join(held, "h").withColumn("rank", rank).filter(f"rank <= n - CAST(ceil({threshold} * n - 1e-9) AS INT) + 1 AND held > 1").select("id", "n", "h")
     a, b = head.select("h", F.col("id").alias("id_a"), F.col("n").alias("na")), head.select("h", F.col("id").alias("id_b"), F.col("n").alias("nb"))
     cand = a.join(b, "h").filter((F.col("id_a") < F.col("id_b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("id_a", "id_b").distinct()
     full = cand.join(rep.select(F.col("id").alias("id_a"), F.col("s").alias("sa")), "id_a").join(rep.select(F.col("id").alias("id_b"), F.col("s").alias("sb")), "id_b")
