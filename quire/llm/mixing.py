@@ -113,7 +113,7 @@ def mix_shares(docs: DataFrame, targets: DataFrame, **kw) -> DataFrame:
     """
     mixed = mix(docs, targets, **kw)
     got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mix_tokens"), F.count("*").alias("n_docs"), F.sum("uses").alias("n_uses"))
-    goal = targets.filter("target_share > 0").groupBy(source_key("source").alias("source")).agg(F.sum("target_share").alias("w"))
+    goal = targets.filter("target_share > 0 AND source IS NOT NULL").groupBy(source_key("source").alias("source")).agg(F.sum("target_share").alias("w"))
     whole = goal.agg(F.sum("w").alias("all_w"))
     total = got.agg(F.sum("mix_tokens").alias("all_t"))
     r = goal.crossJoin(whole).crossJoin(total).join(got, "source", "left").fillna(0, ["mix_tokens", "n_docs", "n_uses"])

@@ -102,7 +102,7 @@ def fit_lexicon(sample: list[tuple[list[str], set[str]]], exam: list[str], subje
             add(p, labels)
     for t in exam:
         add(t, {EXAM})
-    if not term:
+    if not term or not subjects:
         return {}
     p, t, a, size = np.array(par), np.array(term), np.array(allow), len(vocab)
     prior = np.ones(len(classes))
