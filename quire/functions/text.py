@@ -124,3 +124,12 @@ def strip_sections(c: Column) -> Column:
 def is_page_number(c: Column) -> Column:
     """A line that is only a page number, in one of the plain styles."""
     return c.rlike(r"^[\s\-—]*(?:\d+\s*(?:[/／]|of)\s*\d+|第\s*\d+\s*页|Page\s*\d+|\d+)[\s\-—]*$")
+
+
+def math_italics(c: Column, enabled: bool = False) -> Column:
+    """Mathematical italic letters as plain ones. Off by default, when text comes back as it is."""
+    if not enabled:
+        return c
+    italic = "".join(chr(x) for base in (0x1D434, 0x1D44E) for x in range(base, base + 26))
+    plain = "".join(chr(x) for base in (ord("A"), ord("a")) for x in range(base, base + 26))
+    return F.translate(c, italic, plain)

@@ -161,3 +161,66 @@ def normalise(df: DataFrame, content: str = "content_md", q_type: str = "q_type"
     out = df.withColumn(content, c)
     out = out.withColumn(q_type, C.question_type(F.col(content), F.col(q_type)))
     return out.withColumn(paths, distinct_paths(F.col(paths))) if paths else out
+
+
+UNIT = f"^{rx.S}*(?:kg|m/|s/|J |N |W |kg·|m/s|J/s|[0-9.]+{rx.S}*[ab])"
+NOISE = "ZZZZ|\\?\\?|\\{\\}.*\\{\\}|<<|>>"
+FIGURE = "如图|图[甲乙丙丁0-9０-９]|下图|右图|左图|所示"
+
+
+def segment_blocks(blocks: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(doc_id, block_id, seg, q_index, section): every block's question, in reading order.
+
+    A text block that begins with a number of 1 to 50 (no option, and no unit after it) opens a question; headings set the
+    section and belong to none, as does short noise. Equations before the first question belong to it, other such blocks are
+    dropped. A figure between two questions goes to the earlier one if that speaks of a figure, else to the later one;
+    figures after the last text stay with the last question. ``labels`` (block_id, label) are put before their blocks.
+    """
+    b = distinct_blocks(blocks).filter("doc_id IS NOT NULL")
+    if labels is not None:
+        b = b.join(labels, "block_id", "left").withColumn("content", F.when(F.col("label").isNotNull(), F.concat_ws(" ", "label", "content")).otherwise(F.col("content"))).drop("label")
+    text = F.col("block_type") == "text"
+    t = X.clean_block(F.coalesce("content", F.lit("")))
+    opener = f"^({rx.D}{{1,3}})(?:{rx.DOT}|{rx.S})"
+    num = X.ascii_digits(F.regexp_extract(t, opener, 1))
+    rest = F.regexp_replace(t, opener, "")
+    option = t.rlike(rx.OPTION_START)
+    heading = text & (F.coalesce("text_level", F.lit(0)) == 1)
+    b = b.withColumn("t", t).withColumn("noise", text & (F.length(t) < 30) & t.rlike(NOISE) & ~option)
+    b = b.withColumn("num", F.when(text & ~heading & ~F.col("noise") & ~option & (num != "") & ~rest.rlike(UNIT), num.cast("int"))).withColumn("num", F.when(F.col("num").between(1, 50), F.col("num"))).withColumn("heading", heading)
+    order = ["block_ord", "block_id"]
+    b = running(b, ["doc_id"], order, at=("sum", F.col("num").isNotNull().cast("int")), q_index=("last", F.col("num")), section=("last", F.when(F.col("heading"), F.col("t"))))
+    # the segment of the next block that isn't a figure: the same running value, read backwards
+    top = 1 << 30
+    b = running(b.withColumn("back", F.lit(top) - F.col("block_ord")).withColumn("back_id", -F.col("block_id")), ["doc_id"], ["back", "back_id"], ahead=("last", F.when(F.col("block_type") != "image", F.col("at"))))
+    said = b.filter(text & (F.col("at") > 0)).groupBy("doc_id", "at").agg(F.max(F.col("t").rlike(FIGURE)).alias("figure"), F.max("num").alias("n"))
+    early = said.select("doc_id", "at", "figure")
+    image = F.col("block_type") == "image"
+    later = image & (F.coalesce("ahead", F.col("at")) > F.col("at")) & ~((F.col("at") > 0) & F.coalesce("figure", F.lit(False)))
+    seg = F.when(later, F.col("ahead")).when((F.col("at") == 0) & (F.col("block_type") == "equation"), 1).otherwise(F.col("at"))
+    r = b.join(early, ["doc_id", "at"], "left").withColumn("seg", seg).filter("seg > 0 AND NOT noise AND NOT heading")
+    index = said.select("doc_id", F.col("at").alias("seg"), F.col("n").alias("q_index"))
+    return r.select("doc_id", "block_id", "seg", "section").join(index, ["doc_id", "seg"], "left")
+
+
+def attach_topics(questions: DataFrame, topic: str, role: str = "main", priority: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(topics, bridge): one topic per value of ``topic`` with its number of questions, and a bridge row per question. Null topics get none."""
+    q = questions.filter(F.col(topic).isNotNull())
+    topics = q.groupBy(F.col(topic).alias("title")).agg(F.count_distinct("question_id").alias("n_questions")).withColumn("topic_id", F.xxhash64("title"))
+    bridge = q.select(F.xxhash64(topic).alias("topic_id"), "question_id", F.lit(role).alias("role"), F.lit(priority).alias("priority")).distinct()
+    return topics, bridge
+
+
+def ingest(pages: DataFrame, bank: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new questions, summary) of page texts (doc_id, page_idx, text) against a bank with ``content_md``.
+
+    The lenient segmentation, normalisation and exact deduplication in one plan; documents without a question count as failed.
+    """
+    from quire.operators.records import insert_new
+
+    lines = pages.select("doc_id", F.col("page_idx").alias("block_ord"), F.col("page_idx").cast("long").alias("block_id"), "page_idx", F.lit(0).alias("text_level"), F.posexplode(C.lines_of(F.col("text"))).alias("line_no", "line"))
+    drafts = normalise(segment_lenient(lines))
+    new, total = insert_new(bank, drafts, "content_md")
+    done = drafts.select(F.count_distinct("doc_id").alias("files_completed"))
+    every = pages.select(F.count_distinct("doc_id").alias("files_total"))
+    return new, total.crossJoin(done).crossJoin(every).withColumn("files_failed", F.col("files_total") - F.col("files_completed"))

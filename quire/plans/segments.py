@@ -33,6 +33,30 @@ def seg_markdown(s: SparkSession, d: str) -> DataFrame:
     return S.segment_markdown(markdown_lines(s, d)).select("doc_id", F.col("seg").cast("bigint").alias("seg"), "q_index", "section", "stem", F.size("options").alias("n_options"), "q_type")
 
 
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    b = S.distinct_blocks(t(s, d, "blocks")).filter("block_type = 'text' AND content IS NOT NULL AND q_ord IS NOT NULL")
+    first = b.groupBy("doc_id", "q_ord").agg(F.min(F.struct("block_ord", "block_id")).alias("m"))
+    label = t(s, d, "questions").groupBy("doc_id", "q_ord").agg(F.min("label").alias("label"))
+    return label.join(first, ["doc_id", "q_ord"]).select(F.col("m.block_id").alias("block_id"), "label")
+
+
+def seg_blocks(s: SparkSession, d: str) -> DataFrame:
+    return S.segment_blocks(t(s, d, "blocks"), _labels(s, d)).select("block_id", F.col("seg").cast("bigint").alias("seg"), "q_index", "section")
+
+
+def topic_bridge(s: SparkSession, d: str) -> DataFrame:
+    """Questions by the topic they are attached to, through the bridge."""
+    q = S.distinct_questions(t(s, d, "questions"))
+    topics, bridge = S.attach_topics(q, "section_title")
+    return bridge.join(topics, "topic_id").join(q.select("question_id", "q_index"), "question_id").select("title", "n_questions", "question_id", "q_index", "priority")
+
+
+def ingest_summary(s: SparkSession, d: str) -> DataFrame:
+    """Counts of taking the text of all exams into an empty bank."""
+    pages = lines(s, d).groupBy("doc_id", "page_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ord", "block_id", "line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return S.ingest(pages, s.createDataFrame([], "content_md string"))[1]
+
+
 def qnum_lines(s: SparkSession, d: str) -> DataFrame:
     c = F.col("line")
     n = lines(s, d).select("block_id", "line_no", C.top_qnum(c).alias("top"), C.digit_top(c).alias("digit"), C.sub_qnum(c).alias("sub"), C.union_qnum(c).alias("any_form"), C.is_instruction(c).alias("instruction"))
@@ -79,13 +103,27 @@ _MARKDOWN = (
     " SELECT doc_id, seg, q_index, nullif(section1, '') AS section, stem, n_options, CASE WHEN n_options > 0 THEN 'choice' WHEN contains(section1, '实验') THEN 'experiment' WHEN regexp_matches(section1, '计算|解答') THEN 'calculation' WHEN contains(section1, '填空') THEN 'fill_blank' ELSE 'unknown' END AS q_type FROM g"
 )
 
-QUERIES = {f.__name__: f for f in (seg_lenient, seg_lenient_images, seg_markdown, qnum_lines, qnum_stream)}
+_SEG_BLOCKS = (
+    f"WITH {B.BLOCKS}, tx AS (SELECT * FROM b WHERE block_type = 'text' AND content IS NOT NULL AND q_ord IS NOT NULL), fi AS (SELECT doc_id, q_ord, arg_min(block_id, (block_ord, block_id)) AS block_id FROM tx GROUP BY ALL),"
+    " la AS (SELECT fi.block_id, l.label FROM fi JOIN (SELECT doc_id, q_ord, min(label) AS label FROM questions GROUP BY ALL) l USING (doc_id, q_ord)),"
+    f" c AS (SELECT b.* EXCLUDE (content), {B.clean_block("coalesce(CASE WHEN label IS NOT NULL THEN concat_ws(' ', label, content) ELSE content END, '')")} AS x FROM b LEFT JOIN la USING (block_id)),"
+    f" d AS (SELECT *, block_type = 'text' AND coalesce(text_level, 0) = 1 AS heading, {B.has('x', rx.OPTION_START)} AS opt, block_type = 'text' AND length(x) < 30 AND {B.has('x', S.NOISE)} AND NOT {B.has('x', rx.OPTION_START)} AS noise, {B.number('x', _OPENER, 1)} AS k, {B.sub('x', _OPENER, '', '')} AS rest FROM c),"
+    f" e AS (SELECT *, CASE WHEN block_type = 'text' AND NOT heading AND NOT noise AND NOT opt AND k BETWEEN 1 AND 50 AND NOT {B.has('rest', S.UNIT)} THEN k END AS num FROM d),"
+    " f AS (SELECT *, sum(CASE WHEN num IS NOT NULL THEN 1 ELSE 0 END) OVER w AS sg, last_value(CASE WHEN heading THEN x END IGNORE NULLS) OVER w AS section FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY block_ord, block_id ROWS UNBOUNDED PRECEDING)),"
+    " g AS (SELECT *, first_value(CASE WHEN block_type <> 'image' THEN sg END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_ord, block_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM f),"
+    f" s AS (SELECT doc_id, sg, bool_or({B.has('x', S.FIGURE)}) AS figure, max(num) AS n FROM f WHERE block_type = 'text' AND sg > 0 GROUP BY ALL),"
+    " h AS (SELECT g.*, CASE WHEN block_type = 'image' AND coalesce(ahead, g.sg) > g.sg AND NOT (g.sg > 0 AND coalesce(figure, false)) THEN ahead WHEN g.sg = 0 AND block_type = 'equation' THEN 1 ELSE g.sg END AS seg FROM g LEFT JOIN s ON g.doc_id = s.doc_id AND g.sg = s.sg)"
+    " SELECT block_id, seg::BIGINT AS seg, s.n AS q_index, section FROM h LEFT JOIN s ON h.doc_id = s.doc_id AND h.seg = s.sg WHERE seg > 0 AND NOT noise AND NOT heading"
+)
+QUERIES = {f.__name__: f for f in (seg_lenient, seg_lenient_images, seg_markdown, seg_blocks, topic_bridge, ingest_summary, qnum_lines, qnum_stream)}
 ORACLE = {
     "seg_lenient": f"{_LENIENT} SELECT *, {B.question_type('content_md', "'fill_blank'")} AS q_type FROM r",
     "seg_lenient_images": f"{_LENIENT}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source_page ORDER BY seg) AS k FROM r),"
     " i AS (SELECT doc_id, page_idx AS source_page, path, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY y0, path) AS k FROM (SELECT DISTINCT doc_id, page_idx, path, y0 FROM page_images WHERE path IS NOT NULL))"
     f" SELECT doc_id, seg, source_page, path AS figure_path, (length(content_md) + CASE WHEN path IS NULL THEN 0 ELSE length({B.ext('path', '([^/]*)$', 1)}) + 14 END)::BIGINT AS n_chars FROM k LEFT JOIN i USING (doc_id, source_page, k)",
     "seg_markdown": _MARKDOWN,
+    "seg_blocks": _SEG_BLOCKS,
+    "topic_bridge": f"WITH {B.QUESTIONS} SELECT section_title AS title, count(*) OVER (PARTITION BY section_title) AS n_questions, question_id, q_index, 100 AS priority FROM qs WHERE section_title IS NOT NULL",
     "qnum_lines": f"WITH {B.LINES}, n AS (SELECT block_id, line_no, {_TOP} AS top, {B.digit_top('line')} AS digit, {B.sub_qnum('line')} AS sub, {_union_sql('line')} AS any_form, {_INSTR} AS instruction FROM lines) SELECT * FROM n WHERE top IS NOT NULL OR sub IS NOT NULL OR any_form IS NOT NULL OR instruction",
     "qnum_stream": f"WITH {B.LINES}, n AS (SELECT doc_id, {_TOP} AS qnum FROM lines WHERE NOT {_INSTR} AND {B.sub_qnum('line')} IS NULL) SELECT doc_id, count(*) AS n, sum(qnum) AS total, count(DISTINCT qnum) AS different FROM n WHERE qnum IS NOT NULL GROUP BY doc_id",
 }

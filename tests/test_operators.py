@@ -160,3 +160,25 @@ def test_core_stands_alone():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"^\s*(?:from|import) quire\.llm|^\s*from quire import .*\bllm\b", p.read_text(), re.M), p
+
+
+def test_block_segmentation(spark):
+    rows = [
+        ("equation", "E=mc", None), ("text", "一、选择题", 1), ("text", "1. 求 E，如图", 0), ("image", "", 0), ("text", "2. 题", 0), ("image", "", 0), ("text", "3. 题", 0),
+        ("text", "4. kg 以上", 0), ("text", "A. 选项", 0), ("text", "ZZZZ ?", 0), ("image", "", 0),
+    ]
+    b = spark.createDataFrame([(i, "d", i, None, k, c, 0, lv, -1) for i, (k, c, lv) in enumerate(rows)], "block_id long, doc_id string, block_ord int, q_ord int, block_type string, content string, page_idx int, text_level int, col_side int")
+    got = {r.block_id: (r.seg, r.q_index) for r in segment.segment_blocks(b.unionByName(b)).collect()}
+    assert got == {0: (1, 1), 2: (1, 1), 3: (1, 1), 4: (2, 2), 5: (3, 3), 6: (3, 3), 7: (3, 3), 8: (3, 3), 10: (3, 3)}
+    assert segment.segment_blocks(b.limit(0)).count() == 0
+
+
+def test_ingest_and_topics(spark):
+    p = spark.createDataFrame([("a", 0, "头\n1. 题一\n2. 题二"), ("b", 0, "无题"), ("c", 0, "1. 题一"), ("d", 0, None)], "doc_id string, page_idx int, text string")
+    bank = spark.createDataFrame([("1.题一",)], "content_md string")
+    new, total = segment.ingest(p, bank)
+    r = total.first()
+    assert [x.content_md for x in new.collect()] == ["2. 题二"] and (r.drafts, r.inserted, r.skipped, r.files_total, r.files_failed) == (3, 1, 2, 4, 2)
+    q = spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], "question_id long, s string")
+    topics, bridge = segment.attach_topics(q, "s")
+    assert topics.first().n_questions == 2 and bridge.count() == 2
