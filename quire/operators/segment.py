@@ -11,13 +11,14 @@ from quire.functions import rx
 from quire.functions import text as X
 from quire.functions.options import count_options, split_options
 from quire.operators.running import running
+from quire.session import materialise
 
 BLOCK_COLUMNS = ["block_id", "doc_id", "block_ord", "q_ord", "block_type", "content", "page_idx", "text_level", "col_side"]
 
 
 def distinct_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks without redeliveries, which differ in the time of ingestion only."""
-    return blocks.select(*BLOCK_COLUMNS).distinct()
+    """Blocks without redeliveries, which differ in the time of ingestion only: one row per block_id, hash-partitioned by it."""
+    return blocks.select(*BLOCK_COLUMNS).dropDuplicates(["block_id"])
 
 
 def distinct_questions(questions: DataFrame) -> DataFrame:
@@ -39,13 +40,15 @@ def segment_lenient(lines: DataFrame) -> DataFrame:
     A top-level number in digits opens a question; a circled number does so only while no digits have been seen in the
     document. Lines before the first question, blank lines and empty questions are dropped.
     """
-    n = lines.withColumn("d", C.digit_top(F.col("line"))).withColumn("c", C.circled_top(F.col("line")))
     order = ["block_ord", "block_id", "line_no"]
-    n = running(n, ["doc_id"], order, seen=("max", F.when(F.col("d").isNotNull(), 1).otherwise(0)))
-    n = n.withColumn("num", F.coalesce("d", F.when(F.col("seen") == 0, F.col("c"))))
+    n = lines.select("doc_id", *order, "page_idx", "line", C.digit_top(F.col("line")).alias("d"), C.circled_top(F.col("line")).alias("c"))
+    # written once: the aggregates below then read two number columns instead of parsing all text again
+    n = materialise(n.filter((X.strip(F.col("line")) != "")))
+    first = n.filter("d IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*order)).alias("first_digit"))
+    n = n.join(first, "doc_id", "left").withColumn("num", F.coalesce("d", F.when(F.col("first_digit").isNull() | (F.struct(*order) < F.col("first_digit")), F.col("c")))).drop("d", "c", "first_digit")
     n = running(n, ["doc_id"], order, seg=("sum", F.col("num").isNotNull().cast("int"))).filter("seg > 0")
     g = n.groupBy("doc_id", "seg").agg(F.array_sort(F.collect_list(F.struct(*order, "num", "page_idx", "line"))).alias("rows"))
-    body = F.array_join(F.transform(F.filter("rows", lambda r: X.strip(r["line"]) != ""), lambda r: r["line"]), "\n")
+    body = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
     out = g.select("doc_id", "seg", X.pad_qnum(F.col("rows")[0]["num"]).alias("source_qnum"), F.col("rows")[0]["page_idx"].alias("source_page"), X.strip(body).alias("content_md")).filter("content_md != ''")
     return out.withColumn("q_type", C.question_type(F.col("content_md"), F.lit("fill_blank")))
 
@@ -81,6 +84,7 @@ def segment_markdown(lines: DataFrame) -> DataFrame:
     num = X.ascii_digits(F.regexp_extract(t, opener, 1))
     num = F.when(num != "", num.cast("int"))
     n = n.withColumn("mark", mark).withColumn("sec", section).withColumn("num", F.when(num.between(1, 50) & ~mark & section.isNull(), num))
+    n = materialise(n.select("doc_id", *order, "line", "mark", "sec", "num"))
     n = running(
         n, ["doc_id"], order,
         section=("last", F.col("sec")),
@@ -189,11 +193,12 @@ def segment_blocks(blocks: DataFrame, labels: DataFrame | None = None) -> DataFr
     b = b.withColumn("t", t).withColumn("noise", text & (F.length(t) < 30) & t.rlike(NOISE) & ~option)
     b = b.withColumn("num", F.when(text & ~heading & ~F.col("noise") & ~option & (num != "") & ~rest.rlike(UNIT), num.cast("int"))).withColumn("num", F.when(F.col("num").between(1, 50), F.col("num"))).withColumn("heading", heading)
     order = ["block_ord", "block_id"]
-    b = running(b, ["doc_id"], order, at=("sum", F.col("num").isNotNull().cast("int")), q_index=("last", F.col("num")), section=("last", F.when(F.col("heading"), F.col("t"))))
+    b = materialise(b.select("doc_id", *order, "block_type", "noise", "heading", "num", F.when(F.col("heading"), F.col("t")).alias("head"), (text & F.col("t").rlike(FIGURE)).alias("figures")))
+    b = running(b, ["doc_id"], order, at=("sum", F.col("num").isNotNull().cast("int")), q_index=("last", F.col("num")), section=("last", F.col("head")))
     # the segment of the next block that isn't a figure: the same running value, read backwards
     top = 1 << 30
     b = running(b.withColumn("back", F.lit(top) - F.col("block_ord")).withColumn("back_id", -F.col("block_id")), ["doc_id"], ["back", "back_id"], ahead=("last", F.when(F.col("block_type") != "image", F.col("at"))))
-    said = b.filter(text & (F.col("at") > 0)).groupBy("doc_id", "at").agg(F.max(F.col("t").rlike(FIGURE)).alias("figure"), F.max("num").alias("n"))
+    said = b.filter(text & (F.col("at") > 0)).groupBy("doc_id", "at").agg(F.max("figures").alias("figure"), F.max("num").alias("n"))
     early = said.select("doc_id", "at", "figure")
     image = F.col("block_type") == "image"
     later = image & (F.coalesce("ahead", F.col("at")) > F.col("at")) & ~((F.col("at") > 0) & F.coalesce("figure", F.lit(False)))
