@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from quire.session import materialise
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
+#: time slots a level, rows from which a slot is cut again, and the most levels (uses of equal finish time can't be parted)
+SLOTS, EDGE_ROWS, LEVELS = 4096, 200_000, 4
 
 
 @cache
@@ -83,26 +85,33 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
     # a use per round; rounds that start beyond the budget's time can't be reached while any source is left
     use = run.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("repeats")))).withColumn("finish", (F.col("upto") + (F.col("round") - 1) * F.col("size")) / F.col("weight"))
     use = materialise(use.select("doc_id", "source", "n_tokens", "finish", "round"))
-    # running tokens over all sources: time buckets of equal width, then within the bucket that the budget falls into
+    # running tokens over all sources: time slots of equal width, the slot that the budget falls into cut again while it is large
     top = use.agg(F.max("finish")).first()[0]
     if top is None:
         return use.select("doc_id", "source", "n_tokens", F.lit(1).alias("uses"))
-    width = top / 4096
-    slot = F.floor(F.col("finish") / F.lit(width)).cast("int")
-    sums = use.groupBy(slot.alias("slot")).agg(F.sum("n_tokens").alias("t")).orderBy("slot").collect()  # at most 4097 rows
-    done, cut = 0, None
-    for r in sums:
-        if done + r.t > budget:
-            cut = r.slot
+    done, low, width = 0, 0.0, top / SLOTS
+    taken, edge = None, use
+    for _ in range(LEVELS):
+        slot = F.floor((F.col("finish") - F.lit(low)) / F.lit(width)).cast("int")
+        cut = None
+        for r in edge.groupBy(slot.alias("slot")).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).orderBy("slot").collect():  # at most SLOTS + 1 rows
+            if done + r.t > budget:
+                cut = r
+                break
+            done += r.t
+        before = edge if cut is None else edge.filter(slot < cut.slot)
+        taken = before if taken is None else taken.unionByName(before)
+        if cut is None:
+            edge = None
             break
-        done += r.t
-    if cut is None:
-        taken = use
-    else:
-        edge = use.filter(slot == cut)
+        edge = edge.filter(slot == cut.slot)
+        if cut.n <= EDGE_ROWS:
+            break
+        low, width = low + cut.slot * width, width / SLOTS
+    if edge is not None:
         w = W.orderBy("finish", "source", "doc_id", "round").rowsBetween(W.unboundedPreceding, 0)
         edge = edge.withColumn("run", F.sum("n_tokens").over(w)).filter(F.col("run") <= budget - done).select(*use.columns)
-        taken = use.filter(slot < cut).unionByName(edge)
+        taken = taken.unionByName(edge)
     return taken.groupBy("doc_id", "source", "n_tokens").agg(F.count("*").cast("int").alias("uses"))
 
 

@@ -208,7 +208,7 @@ def subject_votes(docs: DataFrame, labels: DataFrame, areas: DataFrame, items: D
             yield pd.DataFrame({"paragraphs": [["\n".join(s) for s in topical(own_text(parse(t)[1]), stock)] for t in p.text], "subjects": p.subjects, "mailbox": p.mailbox, "source": p.source})
 
     # the sample is bounded, so its paragraphs may come to the driver
-    rows = d.join(chosen, "doc_id").select("text", "subjects", "mailbox", "source").mapInPandas(own, "paragraphs array<string>, subjects array<string>, mailbox string, source string").collect()
+    rows = d.join(F.broadcast(chosen), "doc_id").select("text", "subjects", "mailbox", "source").mapInPandas(own, "paragraphs array<string>, subjects array<string>, mailbox string, source string").collect()
     sample = [(r.paragraphs, {s for s in r.subjects if s in subjects}, r.mailbox, r.source) for r in rows]
     exam = [r.text for r in items.select("text").filter("text IS NOT NULL").limit(2000).collect()] if items is not None else []
     lexicon = fit_lexicon([x[:2] for x in sample], exam, subjects)

@@ -140,6 +140,17 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), goal).count() == 0 and mixing.mix(docs, goal.limit(0)).count() == 0
 
 
+def test_mix_in_levels(spark, monkeypatch):
+    docs, goal = mix_input(spark)
+    key = lambda df: sorted((r.doc_id, r.uses) for r in df.collect())
+    for budget in (1, 61, 500):
+        want = key(mixing.mix(docs, goal, budget=budget))
+        monkeypatch.setattr(mixing, "SLOTS", 3)
+        monkeypatch.setattr(mixing, "EDGE_ROWS", 2)
+        assert key(mixing.mix(docs, goal, budget=budget)) == want
+        monkeypatch.undo()
+
+
 def test_mix_is_the_fair_order(spark):
     docs, goal = mix_input(spark)
     goal, budget = goal.filter("source = 'small' OR source = 'list_serv'"), 60
