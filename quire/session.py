@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where it is unset, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         sc = spark.sparkContext
-        at = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
+        folder = sc._jsc.sc().getCheckpointDir()
+        at = folder.get() if folder.isDefined() else None
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", at)
@@ -24,9 +28,20 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table written to the shared folder; survives lost executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(at)
     df.write.mode("overwrite").option("compression", "zstd").parquet(at)
     return spark.read.parquet(at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this session materialised in the shared folder; call it when their results are no longer needed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    for at in _written.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(at)
+        done += bool(p.getFileSystem(conf).delete(p, True))
+    return done

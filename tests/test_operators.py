@@ -182,3 +182,10 @@ def test_ingest_and_topics(spark):
     q = spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], "question_id long, s string")
     topics, bridge = segment.attach_topics(q, "s")
     assert topics.first().n_questions == 2 and bridge.count() == 2
+
+
+def test_release(spark):
+    from quire.session import materialise, release
+
+    df = materialise(spark.range(3))
+    assert df.count() == 3 and release(spark) >= 1 and release(spark) == 0
