@@ -123,8 +123,7 @@ def mix_shares(docs: DataFrame, targets: DataFrame, **kw) -> DataFrame:
     mixed = mix(docs, targets, **kw)
     got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mix_tokens"), F.count("*").alias("n_docs"), F.sum("uses").alias("n_uses"))
     goal = targets.filter("target_share > 0 AND source IS NOT NULL").groupBy(source_key("source").alias("source")).agg(F.sum("target_share").alias("w"))
-    whole = goal.agg(F.sum("w").alias("all_w"))
-    total = got.agg(F.sum("mix_tokens").alias("all_t"))
-    r = goal.crossJoin(whole).crossJoin(total).join(got, "source", "left").fillna(0, ["mix_tokens", "n_docs", "n_uses"])
-    r = r.withColumn("target_share", F.col("w") / F.col("all_w")).withColumn("actual_share", F.coalesce(F.col("mix_tokens") / F.col("all_t"), F.lit(0.0)))
+    r = goal.join(got, "source", "left").fillna(0, ["mix_tokens", "n_docs", "n_uses"])
+    every = W.partitionBy()  # a row a target
+    r = r.withColumn("target_share", F.col("w") / F.sum("w").over(every)).withColumn("actual_share", F.coalesce(F.col("mix_tokens") / F.nullif(F.sum("mix_tokens").over(every), F.lit(0)), F.lit(0.0)))
     return r.select("source", "target_share", "actual_share", "mix_tokens", "n_docs", "n_uses", (F.abs(F.col("actual_share") - F.col("target_share")) <= 0.005).alias("is_met"))

@@ -136,7 +136,8 @@ def truncated(blocks: DataFrame, exams: DataFrame, scan_sources: tuple[str, ...]
     longer = longer.select(F.xxhash64("value").alias("h1"), F.xxhash64("value", F.lit(1)).alias("h2"), F.lit(True).alias("copy"))
     # phrases before an ellipsis: at most 1 / PHRASE_SHARE of them
     tails = rows.filter("prose AND dots").groupBy("tail").count()
-    phrase = tails.crossJoin(tails.agg(F.sum("count").alias("all"))).filter((F.col("count") >= PHRASE_LEAST) & (F.col("count") >= PHRASE_SHARE * F.col("all"))).select("tail", F.lit(True).alias("phrase"))
+    every = tails.agg(F.sum("count")).first()[0] or 0
+    phrase = tails.filter(F.col("count") >= max(PHRASE_LEAST, PHRASE_SHARE * every)).select("tail", F.lit(True).alias("phrase"))
     # limits of a source: lengths in characters or bytes at which open ends pile up
     size = rows.filter("prose AND long AND open AND NOT dots").select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n")))).alias("u")).groupBy("source", "u.unit", "u.n").agg(F.count("*").alias("k"))
     total = size.groupBy("source", "unit").agg(F.sum("k").alias("all"))
