@@ -38,7 +38,8 @@ def insert_new(bank: DataFrame, drafts: DataFrame, text: str) -> tuple[DataFrame
     d = drafts.withColumn("__key", content_key(F.col(text)))
     known = bank.select(content_key(F.col(text)).alias("__key")).distinct()
     new = d.join(known, "__key", "left_anti").dropDuplicates(["__key"]).drop("__key")
-    total = d.agg(F.count("*").alias("drafts")).crossJoin(new.agg(F.count("*").alias("inserted")))
+    both = d.select(F.lit(1).alias("d"), F.lit(0).alias("i")).unionByName(new.select(F.lit(0).alias("d"), F.lit(1).alias("i")))
+    total = both.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("drafts"), F.coalesce(F.sum("i"), F.lit(0)).alias("inserted"))
     return new, total.withColumn("skipped", F.col("drafts") - F.col("inserted"))
 
 
@@ -115,11 +116,11 @@ def is_newer(latest: Column, current: Column) -> Column:
 def fetch_paper(bank: DataFrame, paper: str, since: Column, name: str = "source_paper", at: str = "created_at", order: str = "source_qnum") -> DataFrame:
     """Rows of a paper since a time; if there are none, all rows of the paper. In order of time and number.
 
-    Both branches are one scan: the newest time of the paper decides which rows count.
+    Whether there are any is asked first and stops at the first row; then one branch is planned.
     """
     own = bank.filter(F.col(name) == paper)
-    newest = own.agg(F.max(at).alias("__newest"))
-    return own.join(F.broadcast(newest)).filter((F.col(at) >= since) | (F.col("__newest") < since)).drop("__newest").orderBy(at, order)
+    young = own.filter(F.col(at) >= since)
+    return (own if young.isEmpty() else young).orderBy(at, order)
 
 
 def preflight(files: DataFrame, max_bytes: int = 100 << 20) -> DataFrame:

@@ -226,6 +226,10 @@ def ingest(pages: DataFrame, bank: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = pages.select("doc_id", F.col("page_idx").alias("block_ord"), F.col("page_idx").cast("long").alias("block_id"), "page_idx", F.lit(0).alias("text_level"), F.posexplode(C.lines_of(F.col("text"))).alias("line_no", "line"))
     drafts = normalise(segment_lenient(lines))
     new, total = insert_new(bank, drafts, "content_md")
-    done = drafts.select(F.count_distinct("doc_id").alias("files_completed"))
-    every = pages.select(F.count_distinct("doc_id").alias("files_total"))
-    return new, total.crossJoin(done).crossJoin(every).withColumn("files_failed", F.col("files_total") - F.col("files_completed"))
+    files = drafts.select("doc_id", F.lit(1).alias("done")).unionByName(pages.select("doc_id", F.lit(0).alias("done"))).groupBy("doc_id").agg(F.max("done").alias("done"))
+    count = files.agg(F.coalesce(F.sum("done"), F.lit(0)).alias("files_completed"), F.count("*").alias("files_total"))
+    names = ["drafts", "inserted", "skipped"]
+    zero = lambda cols: [F.lit(0).cast("bigint").alias(c) for c in cols]
+    one = total.select(*names, *zero(count.columns)).unionByName(count.select(*zero(names), *count.columns))
+    one = one.agg(*[F.sum(c).alias(c) for c in one.columns])
+    return new, one.withColumn("files_failed", F.col("files_total") - F.col("files_completed"))
