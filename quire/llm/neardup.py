@@ -1,32 +1,27 @@
-"""Near-duplicate records: a parity-sketch join.
-
-Every record is the set of its distinct character shingles, hashed to 64 bits. A record's *sketch* spreads its shingles
-over m segments by hash and keeps the XOR of the hashes in each segment. Two sets that differ in d shingles differ in at
-most d segments, so the number of differing segments is a lower bound of the symmetric difference; and where the
-segments are narrow enough, similar sets must share segments (pigeonhole). m is chosen per *size band*, a geometric
-range of set sizes, so that a segment holds about ``load`` shingles. The join key is (band, segment, XOR).
-
-A segment counts as a key only if at least ``least`` shingles fell into it: agreement on several independent shingles
-is what separates copies from texts that merely share phrases, without any cap on hot keys. Candidates must then pass
-the lower bound itself: records carry a parity sketch of SKETCH_BITS bits, whose Hamming distance can't exceed the
-symmetric difference that the threshold allows. What is left is verified by exact similarity. Records with equal text
-are joined once, through a representative.
-
-A pair of s shared and d differing shingles is missed by one round with probability (1 - p)^m, where
-p = P[Poisson(s / m) >= least] * exp(-d / m); ``rounds`` repeats the scheme under other hashes and multiplies it. With the
-default load 6, least 5 and 2 rounds that is some percent at the very threshold of 0.6 and less than 0.1 % from 0.7 on;
-of the 1,510 true pairs of the sf0.1 questions all but 1 are found, none wrongly. Fewer shingles a key (load 4, least 4,
-1 round) find as many, but nine times as many candidates that are no pairs, a number that grows with the square of the
-collection.
+"""Near-duplicate records: an exact set-similarity join.
+
+Every record is the set of its distinct character shingles, hashed to 50 bits. The shingles have one order, rarest first
+(``shingle_order``), and a record's *prefix* is its first n - ceil(threshold * n) + 1 shingles. Two sets that are similar
+enough share a shingle of their prefixes, and what they share is at most the number c shared by the prefixes plus the rest
+of the one whose prefix ends first. Both bounds hold for every pair, so none is missed at any size or similarity.
+
+Records are put into groups of near sizes, and each two groups whose sizes allow similar pairs are compared in one task,
+which counts c for all their pairs by the postings of one group (``count_pairs``). What passes must
+also pass, in the same task, a parity sketch of SKETCH_BITS bits, whose Hamming distance can't exceed the symmetric
+difference that the threshold allows. What is left is verified by exact similarity. Records with equal text are joined
+once, through a representative.
+
+The price: where all texts are made of the same phrases, the work grows with the square of the collection, and the shuffle
+with the number of groups (README has measured figures). Keys of several shingles each are cheaper, but have no guarantee.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +33,8 @@ from quire.session import materialise
 SKETCH_BITS = 1024
 #: rows handled at once; with 50 bits of hash they fit one word
 ROWS = 8192
+#: first bits of a shingle's hash that make its class; the rarest classes come first in the order
+CLASS_BITS = 18
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -77,47 +74,103 @@ def shingles(arr: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
-def bands(size: np.ndarray, threshold: float) -> np.ndarray:
-    return np.floor(np.log(np.maximum(size, 1)) / -2 / math.log(threshold) + 1e-9).astype(np.int64)
-
-
-def sketch_keys(h: np.ndarray, off: np.ndarray, threshold: float, load: float, least: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): the segments of every row that hold enough shingles, in the row's band and, if a smaller partner may be there, in the band below."""
-    size = np.diff(off)
-    band = bands(size, threshold)
-    rows, keys = [], []
-    for b in np.unique(band[size > 0]):
-        for low in (b, b - 1):
-            edge = threshold ** (-2.0 * (low + 1))
-            member = (band == b) & (size > 0)
-            if low < b:
-                member &= size * threshold < edge
-            r = np.flatnonzero(member)
-            if not len(r) or low < 0:
-                continue
-            m = max(4, int(edge / load))
-            chunk = max(1, min(ROWS, (1 << 23) // m))  # row and segment take at most 24 bits, unless one row has more segments
-            for lo in range(0, len(r), chunk):
-                some = r[lo : lo + chunk]
-                count = size[some]
-                idx = np.repeat(off[some] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                x, own = h[idx], np.repeat(np.arange(len(some)), count).astype(np.uint64)
-                bits = max(1, int(len(some) * m - 1).bit_length())
-                for t in range(rounds):
-                    seed = (int(low) + 1) * 1_000_003 + t * 7_919
-                    slot = own * np.uint64(m) + mix(x, seed) % np.uint64(m)
-                    # segment and hash in one word; the XOR of a segment is the XOR of their low parts
-                    v = np.sort(slot << np.uint64(64 - bits) | mix(x, seed ^ 0x5DEECE66D) >> np.uint64(bits))
-                    slot = v >> np.uint64(64 - bits)
-                    start = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-                    word = np.bitwise_xor.reduceat(v & np.uint64((1 << (64 - bits)) - 1), start) >> np.uint64(max(0, 24 - bits))
-                    full = np.diff(np.concatenate([start, [len(slot)]])) >= least
-                    slot, word = slot[start][full], word[full]
-                    rows.append(some[(slot // np.uint64(m)).astype(np.int64)])
-                    keys.append((mix(word, seed + 13) ^ mix(slot % np.uint64(m), seed)) >> np.uint64(16))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(rows), np.concatenate(keys).view(np.int64)
+def shingle_order(text: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rank, sizes, records): rank of each class of shingles (their first CLASS_BITS bits), rarest first, and how many records have each size.
+
+    Any order makes the join exact; the rarest first makes it fast. Both counts come from one pass.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sizes = np.zeros(1 << CLASS_BITS, np.int64), np.zeros(1, np.int64)
+        for b in batches:
+            h, off = shingles(b.column(0), k)
+            held += np.bincount((h >> np.uint64(50 - CLASS_BITS)).astype(np.int64), minlength=1 << CLASS_BITS)
+            more = np.bincount(np.diff(off), minlength=len(sizes))
+            more[: len(sizes)] += sizes
+            sizes = more
+        for kind, c in enumerate((held, sizes)):
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(c[at])], names=["kind", "at", "n"])
+
+    got = text.select("text").mapInArrow(run, "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
+    kind, at, n = (got.column(i).to_numpy() for i in range(3))
+    held = np.zeros(1 << CLASS_BITS, np.int64)
+    held[at[kind == 0]] = n[kind == 0]
+    rank = np.empty(1 << CLASS_BITS, np.uint64)
+    rank[np.argsort(held, kind="stable")] = np.arange(1 << CLASS_BITS, dtype=np.uint64)
+    at, n = at[(kind == 1) & (at > 0)], n[(kind == 1) & (at > 0)]
+    o = np.argsort(at)
+    return rank, at[o], n[o]
+
+
+def size_groups(sizes: np.ndarray, records: np.ndarray, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(first, parts, pairs): for each size its first group and over how many it is spread, so that a group has about ``most`` records; and the pairs of groups that may hold similar sets."""
+    first, parts, low, high = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), [], []
+    room = 0
+    for i, (size, n) in enumerate(zip(sizes.tolist(), records.tolist())):
+        if n > room:
+            parts[i] = -(-n // most)
+            low += [size] * int(parts[i])
+            high += [size] * int(parts[i])
+            room = most if parts[i] == 1 else 0
+        first[i] = len(low) - parts[i]
+        high[-1] = size
+        room -= n
+    return first, parts, [(g, j) for g in range(len(low)) for j in range(g, len(low)) if high[g] >= threshold * low[j] - 1e-6]
+
+
+def prefixes(h: np.ndarray, off: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, offsets, last): 32-bit hashes of each row's prefix, and the place of its last shingle in the order."""
+    n = np.diff(off)
+    low = np.uint64(50 - CLASS_BITS)
+    v = rank[(h >> low).astype(np.int64)] << low | h & ((np.uint64(1) << low) - np.uint64(1))
+    for lo in range(0, len(n), ROWS):
+        a, b = off[lo], off[min(lo + ROWS, len(n))]
+        own = np.repeat(np.arange(min(ROWS, len(n) - lo), dtype=np.uint64), n[lo : lo + ROWS])
+        v[a:b] = np.sort(own << np.uint64(50) | v[a:b]) & np.uint64((1 << 50) - 1)
+    size = np.where(n > 0, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
+    at = np.concatenate([[0], np.cumsum(size)])
+    idx = np.repeat(off[:-1] - at[:-1], size) + np.arange(at[-1])
+    last = np.zeros(len(n), np.int64)
+    last[n > 0] = v[(off[:-1] + size - 1)[n > 0]].astype(np.int64)
+    return mix(v[idx], 77_777).astype(np.uint32), at, last
+
+
+def count_pairs(left: tuple, right: tuple | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): all pairs of rows of ``left`` and ``right`` (None: i < j of left) that may be similar, by what their prefixes share.
+
+    Each side is (n, last, tokens, offsets) with n ascending. Hashes that collide only add to the count, so no pair is lost.
+    """
+    n, last, tok, off = left
+    pn, plast, ptok, poff = right or left
+    own = owners(off)
+    o = np.argsort(tok, kind="stable")
+    tok, own = tok[o], own[o].astype(np.int64)
+    lo, hi = np.searchsorted(tok, ptok), np.searchsorted(tok, ptok, "right")
+    share = threshold / (1 + threshold)
+    rest, prest = n - np.diff(off), pn - np.diff(poff)
+    begin, end = np.searchsorted(n, pn * threshold - 1e-6), np.searchsorted(n, pn / threshold + 1e-6, "right")
+    if right is None:
+        end = np.minimum(end, np.arange(len(pn)))
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for j in np.flatnonzero(begin < end).tolist():
+        b, e = begin[j], end[j]
+        a, z = lo[poff[j] : poff[j + 1]], hi[poff[j] : poff[j + 1]]
+        k = z - a
+        total = k.sum()
+        if not total:
+            continue
+        c = np.bincount(own[np.repeat(a - np.cumsum(k) + k, k) + np.arange(total)], minlength=e)[b:e]
+        # a number that no pair of these sizes needs less than, then what each needs
+        least = max(1.0, share * pn[j] + min(share * n[b] - prest[j], share * n[e - 1] - threshold * n[e - 1]) - 1e-6)
+        i = np.flatnonzero(c >= least)
+        if len(i):
+            at = i + b
+            need = share * (pn[j] + n[at]) - np.where(plast[j] <= last[at], prest[j], rest[at])
+            at = at[c[i] >= need - 1e-6]
+            out_i.append(at)
+            out_j.append(np.full(len(at), j))
+    return np.concatenate(out_i), np.concatenate(out_j)
 
 
 def jaccard_rows(a: pa.Array, b: pa.Array, k: int) -> np.ndarray:
@@ -153,12 +206,23 @@ def parity_bits(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def similar_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.6, load: float = 6.0, least: int = 5, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def near(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (i, j) the parity sketches x, y of sets of m, n shingles don't rule out."""
+    ok = np.zeros(len(i), bool)
+    for lo in range(0, len(i), 100_000):
+        a, b = i[lo : lo + 100_000], j[lo : lo + 100_000]
+        apart = np.bitwise_count(x[a] ^ y[b]).sum(axis=1, dtype=np.int64)
+        ok[lo : lo + 100_000] = (apart <= (1 - threshold) / (1 + threshold) * (m[a] + n[b]) + 1e-9) & (np.minimum(m[a], n[b]) >= threshold * np.maximum(m[a], n[b]) - 1e-9)
+    return ok
+
+
+def similar_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.6, group: int = 40_000) -> tuple[DataFrame, DataFrame]:
     """(pairs, copies): pairs (a, b, similarity), a < b, of representatives, and copies (id, rep) of equal texts.
 
     A representative is the smallest id of the records with equal text; records without a copy aren't in ``copies``.
     Null text counts as empty; texts shorter than ``k`` characters have no shingles and are similar only to equal ones.
-    A repeated id counts once per distinct text. Other columns are ignored.
+    A repeated id counts once per distinct text. Other columns are ignored. ``group`` is how many records a task compares
+    with as many others; it doesn't change the result.
     """
     text = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = materialise(text.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64("text", F.lit(1))))
@@ -167,35 +231,42 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 5, thresho
     rep_text = text.select("id", "text").join(copies.filter("id != rep").select("id"), "id", "left_anti")
     kind = text.schema["id"].dataType
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, off = shingles(b.column(1), k)
-            row, key = sketch_keys(h, off, threshold, load, least, rounds)
-            yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(row))], names=["key", "id"])
+    rank, sizes, records = shingle_order(rep_text, k)
+    first, parts, tasks = size_groups(sizes, records, threshold, group)
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, off = shingles(b.column(1), k)
-            bits = parity_bits(h, off)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off).astype(np.int32)), pa.array([x.tobytes() for x in bits], pa.binary())], names=["id", "n", "bits"])
-
-    keys = rep_text.mapInArrow(sign, T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind)]))
-    left, right = keys.select("key", F.col("id").alias("a")), keys.select("key", F.col("id").alias("b"))
-    cand = left.join(right, "key").filter("a < b").select("a", "b").distinct()
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs that the parity sketches don't rule out."""
-        for b in batches:
-            x, y = (np.frombuffer(byte_view(b.column(i).cast(pa.large_binary()))[0], np.uint8).reshape(-1, SKETCH_BITS // 8) for i in (2, 4))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            m, n = b.column(3).to_numpy().astype(np.int64), b.column(5).to_numpy().astype(np.int64)
-            ok = pa.array((apart <= (1 - threshold) / (1 + threshold) * (m + n) + 1e-9) & (np.minimum(m, n) >= threshold * np.maximum(m, n)))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+            tok, at, last = prefixes(h, off, rank, threshold)
+            r = np.flatnonzero(np.diff(off))
+            n = np.diff(off)[r]
+            which = np.searchsorted(sizes, n)
+            g = first[which] + (mix(last[r].view(np.uint64), 55) % parts[which].astype(np.uint64)).astype(np.int64)
+            flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 4), pa.py_buffer(tok)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(g), b.column(0).take(pa.array(r)), pa.array(n), pa.array(last[r]), flat.take(pa.array(r)), pa.array([x.tobytes() for x in parity_bits(h, off)[r]], pa.binary())], names=["g", "id", "n", "last", "tok", "bits"])
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        g, task = t["g"].to_numpy(), t["task"][0].as_py()
+        sides = []
+        for x in dict.fromkeys(tasks[task]):
+            at = np.flatnonzero(g == x)
+            s = t.take(pa.array(at[np.argsort(t["n"].to_numpy()[at], kind="stable")]))
+            raw, off = byte_view(s["tok"].combine_chunks().cast(pa.large_binary()))
+            bits = np.frombuffer(byte_view(s["bits"].combine_chunks().cast(pa.large_binary()))[0], np.uint64).reshape(-1, SKETCH_BITS // 64)
+            sides.append((s["id"], bits, (s["n"].to_numpy(), s["last"].to_numpy(), np.frombuffer(raw, np.uint32), np.asarray(off) // 4)))
+        i, j = count_pairs(sides[0][2], sides[1][2] if len(sides) > 1 else None, threshold)
+        ok = near(sides[0][1], sides[-1][1], sides[0][2][0], sides[-1][2][0], i, j, threshold)
+        i, j = i[ok], j[ok]
+        a, b = sides[0][0].take(pa.array(i)), sides[-1][0].take(pa.array(j))
+        less = pc.less(a, b)
+        return pa.table({"a": pc.if_else(less, a, b), "b": pc.if_else(less, b, a)})
 
     pair = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    sk = rep_text.mapInArrow(sketch, T.StructType([T.StructField("id", kind), T.StructField("n", T.IntegerType()), T.StructField("bits", T.BinaryType())]))
-    both = cand.join(sk.select(F.col("id").alias("a"), F.col("bits").alias("xa"), F.col("n").alias("na")), "a").join(sk.select(F.col("id").alias("b"), F.col("bits").alias("xb"), F.col("n").alias("nb")), "b")
-    cand = materialise(both.select("a", "b", "xa", "na", "xb", "nb").mapInArrow(near, pair))
+    signed = rep_text.mapInArrow(sign, T.StructType([T.StructField("g", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("last", T.LongType()), T.StructField("tok", T.BinaryType()), T.StructField("bits", T.BinaryType())]))
+    part = text.sparkSession.createDataFrame([(x, i) for i, p in enumerate(tasks) for x in dict.fromkeys(p)], "g long, task long")
+    # a repeated id may have two texts that are alike
+    cand = materialise(signed.join(F.broadcast(part), "g").groupBy("task").applyInArrow(compare, pair).filter("a < b").distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

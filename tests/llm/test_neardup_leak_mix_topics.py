@@ -65,6 +65,28 @@ def test_copies_and_odd_texts(spark):
     assert neardup.similar_pairs(df.limit(0), "id", "text")[0].count() == 0
 
 
+def test_no_pair_is_missed(spark):
+    rnd = random.Random(6)
+    rows = []
+    for size in (6, 9, 14, 24, 54, 104, 204, 304):
+        for _ in range(12):
+            base = [rnd.choice("abcdefghijklmnop") for _ in range(size)]
+            near = ["".join(base)]
+            for _ in range(3):
+                t = list(base)
+                for _ in range(rnd.randint(1, size // 25) if size > 49 else size // 14):
+                    t[rnd.randrange(size)] = rnd.choice("xyz")
+                near.append("".join(t) + "w" * rnd.randint(0, max(1, size // 9)))
+            rows += near
+    rows = list(enumerate(dict.fromkeys(rows)))
+    s = {i: sets(t) for i, t in rows}
+    want = {(a, b) for a, b in itertools.combinations(s, 2) if len(s[a] & s[b]) >= 0.6 * len(s[a] | s[b])}
+    assert len(want) > 100 and any(len(s[a]) < 5 for a, _ in want)
+    df = spark.createDataFrame(rows, "id long, text string")
+    for kw in ({}, {"group": 50}):
+        assert {(r.a, r.b) for r in neardup.similar_pairs(df, "id", "text", **kw)[0].collect()} == want
+
+
 PASSAGE = "a coated gasket of mass 57.35 kg rests on a narrow trench beside a magnetised sled and the paddle discharges rapidly for seconds"
 
 
