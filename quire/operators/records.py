@@ -76,8 +76,9 @@ def dedup_jaccard(df: DataFrame, text: str, id_col: str, words: int = 5, thresho
 
     Prefix filter: two such sets must share one of their first n - ceil(threshold * n) + 1 shingles in any fixed order.
     The order is by how many sets hold a shingle, rarest first, so that shared phrases stay out of the prefixes; those in
-    one set only are not joined. Equal sets are joined once, through the smallest id of each. Texts shorter than ``words``
-    words have no shingles and no pairs.
+    one set only are not joined. Equal sets are joined once, through the smallest id of each: the pairs are those of
+    representatives, and ``jaccard_members`` gives the other members. Texts shorter than ``words`` words have no shingles
+    and no pairs.
     """
     s = shingle_sets(df, text, id_col, words).filter(F.size("s") > 0)
     rep = s.groupBy("s").agg(F.min("id").alias("id")).withColumn("n", F.size("s"))
@@ -92,6 +93,18 @@ def dedup_jaccard(df: DataFrame, text: str, id_col: str, words: int = 5, thresho
     return full.withColumn("similarity", both / (F.size("sa") + F.size("sb") - both)).filter(F.col("similarity") >= threshold - 1e-9).select("id_a", "id_b", "similarity")
 
 
+def jaccard_members(df: DataFrame, text: str, id_col: str, words: int = 5) -> DataFrame:
+    """(id, kept_id, n_equal): for every row the smallest id with the same word shingles, its representative in ``dedup_jaccard``, and how many rows have them.
+
+    Rows of one representative are similar by 1; those of two that ``dedup_jaccard`` pairs are as similar as these. One row
+    a member, so a group of copies grows in proportion. Texts shorter than ``words`` words have no shingles and stand for
+    themselves.
+    """
+    s = shingle_sets(df, text, id_col, words)
+    same = s.filter(F.size("s") > 0).groupBy("s").agg(F.min("id").alias("kept_id"), F.count("*").alias("n_equal"))
+    return s.join(same, "s", "left").select("id", F.coalesce("kept_id", "id").alias("kept_id"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"))
+
+
 def recent(df: DataFrame, ts: str, now: Column, hours: float) -> DataFrame:
     """Rows no older than ``hours`` before ``now``; unknown times are left out."""
     return df.filter(F.col(ts) >= now - F.expr(f"INTERVAL {int(hours * 3600)} SECONDS"))

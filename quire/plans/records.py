@@ -29,6 +29,11 @@ def dedup_jaccard(s: SparkSession, d: str) -> DataFrame:
     return R.dedup_jaccard(question_md(s, d), "content_md", "question_id").withColumn("similarity", F.round("similarity", 9))
 
 
+def dedup_jaccard_members(s: SparkSession, d: str) -> DataFrame:
+    """Every question with the representative that stands for it in dedup_jaccard."""
+    return R.jaccard_members(question_md(s, d), "content_md", "question_id")
+
+
 def bank_insert(s: SparkSession, d: str) -> DataFrame:
     """Summary of inserting scanned exams' blocks into a bank of all others."""
     scan = t(s, d, "exams").filter("source IN ('flatbed_scan', 'phone_scan')").select("doc_id").distinct()
@@ -132,7 +137,7 @@ _FONT = (
     " SELECT doc_id, page_idx, arg_min(block_id, (block_ord, block_id, line_no)) AS block_id, arg_min(line_no, (block_ord, block_id, line_no)) AS line_no, qnum FROM y GROUP BY doc_id, page_idx, qnum"
 )
 _W = f"regexp_extract_all(lower(content_md), '[a-zà-ÿ0-9]+|{rx.HAN}')"
-QUERIES = {f.__name__: f for f in (dedup_exact, dedup_jaccard, bank_insert, latest_exam, fetch_paper, recent_files, live_jobs, throttle, semver, preflight, content_list, event_props, render_cards, exam_totals, qnum_font, choices, figure_flow)}
+QUERIES = {f.__name__: f for f in (dedup_exact, dedup_jaccard, dedup_jaccard_members, bank_insert, latest_exam, fetch_paper, recent_files, live_jobs, throttle, semver, preflight, content_list, event_props, render_cards, exam_totals, qnum_font, choices, figure_flow)}
 _KEY = lambda c: f"sha256({B.sub(f'''lower(coalesce({c}, ''))''', f'{rx.S}+', '')})"
 _CARD = (
     "'<section class=\"q\" id=\"q' || seq || '\"><span class=\"badge\">' || CASE question_type WHEN 'choice' THEN CASE WHEN is_multi_select IS NULL THEN '选择' WHEN is_multi_select THEN '多选' ELSE '单选' END WHEN 'fill_blank' THEN '填空' WHEN 'calculation' THEN '计算' WHEN 'experiment' THEN '实验' ELSE '其他' END"
@@ -144,6 +149,8 @@ ORACLE = {
     "dedup_exact": f"WITH b AS (SELECT DISTINCT block_id, content FROM blocks), k AS (SELECT block_id, {_KEY('content')} AS content_key FROM b) SELECT block_id, min(block_id) OVER (PARTITION BY content_key) AS kept_id, block_id = min(block_id) OVER (PARTITION BY content_key) AS is_new, content_key FROM k",
     "dedup_jaccard": f"{_MD}, w AS (SELECT question_id AS id, {_W} AS w FROM md), s AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS s FROM w WHERE len(w) >= 5), r AS (SELECT s, min(id) AS id FROM s GROUP BY s), e AS (SELECT id, len(s) AS n, unnest(s) AS h FROM r),"
     " c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.h = b.h AND a.id < b.id GROUP BY ALL) SELECT id_a, id_b, round(k / (na + nb - k), 9) AS similarity FROM c WHERE k / (na + nb - k) >= 0.8 - 1e-9",
+    "dedup_jaccard_members": f"{_MD}, w AS (SELECT question_id AS id, {_W} AS w FROM md), s AS (SELECT id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) ELSE [id::VARCHAR] END AS s FROM w)"
+    " SELECT id, min(id) OVER (PARTITION BY s) AS kept_id, count(*) OVER (PARTITION BY s) AS n_equal FROM s",
     "bank_insert": f"WITH b AS (SELECT DISTINCT block_id, doc_id, {_KEY('content')} AS k FROM blocks), s AS (SELECT DISTINCT doc_id FROM exams WHERE source IN ('flatbed_scan', 'phone_scan')), d AS (SELECT * FROM b WHERE doc_id IN (SELECT doc_id FROM s)), o AS (SELECT k FROM b WHERE doc_id NOT IN (SELECT doc_id FROM s)), n AS (SELECT count(*) AS drafts, count(DISTINCT k) FILTER (WHERE k NOT IN (SELECT k FROM o)) AS inserted FROM d) SELECT *, drafts - inserted AS skipped FROM n",
     "latest_exam": "SELECT doc_id, title, source, created_at FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY created_at DESC, title DESC NULLS LAST, source DESC NULLS LAST) AS r FROM exams) WHERE r = 1",
     "fetch_paper": "SELECT question_id, doc_id AS source_paper, lpad(q_index::VARCHAR, 2, '0') AS source_qnum, ingested_at AS created_at FROM questions WHERE doc_id = 'bank-omnibus-0001'",

@@ -99,6 +99,13 @@ def test_records(spark):
     assert fetch("2024-01-15") == [2] and fetch("2025-01-01") == [1, 2]
 
 
+def test_jaccard_members(spark):
+    same = " ".join(f"w{j}" for j in range(40))
+    t = [(1, same), (2, same.upper()), (3, same + " zz"), (4, "13、" + same), (5, "13. " + same), (6, "short"), (7, "short"), (8, None)]
+    got = records.jaccard_members(spark.createDataFrame(t, "id long, t string"), "t", "id").collect()
+    assert {r.id: (r.kept_id, r.n_equal) for r in got} == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (4, 2), 5: (4, 2), 6: (6, 1), 7: (7, 1), 8: (8, 1)} and len(got) == 8
+
+
 def test_block_lists(spark):
     items = [{"type": "text", "text": "a", "text_level": 1}, {"type": "list", "list_items": ["x", {"text": "y"}, " "], "page_idx": 2, "bbox": [1, 2, 3, 4]}, {"type": "image", "img_path": "p", "text_detected": ["t"]}, {"type": "odd"}, {"type": "equation", "text": "e"}, {"type": "table", "html": "<t>"}]
     df = spark.createDataFrame([("d", json.dumps(items)), ("e", "not json"), ("f", None)], "doc_id string, items string")
