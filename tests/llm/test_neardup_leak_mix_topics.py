@@ -129,11 +129,71 @@ def test_leaks_brute(spark):
     assert {(r.doc_id, r.item_id) for r in leak.eval_leaks(table(spark, SMALL, "documents"), table(spark, SMALL, "eval_items")).collect()} == want
 
 
-def test_reordered_coverage():
+def test_reordered_coverage(spark):
     it = leak.Items([(1, PASSAGE)])
     w = PASSAGE.split()
-    got = it.tiles(*leak.letters([leak.plain(" ".join(w[11:] + ["x"] + w[:11]))]))
+    pieces = " ".join([*w[14:], "stop", *w[7:14], "stop", *w[:7]])
+    got = it.tiles(*leak.letters([leak.plain(pieces)]))
     assert got[0][4] > 0.95 and got[0][2] < 15
+    d = spark.createDataFrame([(1, pieces), (2, " ".join(w[:7])), (3, None)], "doc_id long, text string")
+    i = spark.createDataFrame([(7, PASSAGE)], "item_id long, text string")
+    for kw in ({}, {"max_broadcast_chars": -1}):
+        assert leak.eval_leaks(d, i, decode=False, **kw).count() == 0
+        assert [(r.doc_id, r.item_id) for r in leak.eval_leaks(d, i, decode=False, min_coverage=0.8, **kw).collect()] == [(1, 7)]
+        assert {r.doc_id for r in leak.eval_leaks(d, i, decode=False, min_coverage=0.2, **kw).collect()} == {1, 2}
+
+
+def brute_tiles(a, b, least):
+    """Greedy string tiling by comparing all places again for every tile."""
+    used_a, used_b, out = [False] * len(a), [False] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(a)):
+            for d in range(len(b)):
+                n = 0
+                while p + n < len(a) and d + n < len(b) and a[p + n] == b[d + n] and not used_a[p + n] and not used_b[d + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, d)
+        n, p, d = best
+        if n < least:
+            return out
+        out.append(best)
+        used_a[p : p + n], used_b[d : d + n] = [True] * n, [True] * n
+
+
+def test_tiling_is_greedy():
+    rnd = random.Random(3)
+    for _ in range(60):
+        a, b = ("".join(rnd.choice("ab") for _ in range(rnd.randint(3, 30))) for _ in range(2))
+        runs = []
+        for p in range(len(a)):
+            for d in range(len(b)):
+                if a[p] == b[d] and not (p and d and a[p - 1] == b[d - 1]):
+                    n = 0
+                    while p + n < len(a) and d + n < len(b) and a[p + n] == b[d + n]:
+                        n += 1
+                    runs.append((n, p, d))
+        assert leak.tile(runs, 3) == brute_tiles(a, b, 3)
+
+
+def test_winnow_and_short_words(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abc") for _ in range(n)) for n in (0, 3, 16, 17, 20, 45, 300)]
+    cp, off = leak.letters(texts)
+    for size, span in ((16, 1), (16, 15), (5, 4), (15, 7)):
+        h, own = leak.seed_hashes(cp, off, size)
+        want = set()
+        for r in range(len(texts)):
+            x = h[own == r].view(np.int64).view(np.uint64)
+            want |= {(r, int(x[i : i + span].min())) for i in range(max(1, len(x) - span + 1)) if len(x)}
+        row, got = leak.winnow(cp, off, span, size)
+        assert {(int(a), int(b) % 2**64) for a, b in zip(row, got)} == want and len(row) == len(want)
+    # fifteen words of one letter are shorter than a seed
+    d = spark.createDataFrame([(1, "x a b c d e f g h i j k l m n o y")], "doc_id long, text string")
+    i = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o"), (2, "p q r s t u v w x y z a b c d")], "item_id long, text string")
+    for kw in ({}, {"max_broadcast_chars": -1}):
+        assert [(r.doc_id, r.item_id, r.words) for r in leak.eval_leaks(d, i, decode=False, **kw).collect()] == [(1, 1, 15)]
 
 
 def test_mail_parts():
@@ -162,38 +222,52 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), goal).count() == 0 and mixing.mix(docs, goal.limit(0)).count() == 0
 
 
-def test_mix_in_levels(spark, monkeypatch):
+def test_mix_ignores_partitioning(spark):
     docs, goal = mix_input(spark)
-    key = lambda df: sorted((r.doc_id, r.uses) for r in df.collect())
-    for budget in (1, 61, 500):
-        want = key(mixing.mix(docs, goal, budget=budget))
-        monkeypatch.setattr(mixing, "SLOTS", 3)
-        monkeypatch.setattr(mixing, "EDGE_ROWS", 2)
-        assert key(mixing.mix(docs, goal, budget=budget)) == want
-        monkeypatch.undo()
+    again = docs.withColumn("text", F.concat("text", F.lit(" and more"))).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "small").otherwise(F.col("source")))
+    key = lambda df, **kw: sorted((r.doc_id, r.source, r.n_tokens, r.uses) for r in mixing.mix(df, goal, budget=700, **kw).collect())
+    want = key(docs.unionByName(again))
+    for n in (1, 3, 7):
+        assert key(again.unionByName(docs).repartition(n)) == want
 
 
-def test_mix_is_the_fair_order(spark):
+def test_mix_repeats_without_rows(spark):
+    docs = spark.createDataFrame([(i, "one two three", "a" if i < 3 else "b") for i in range(40)], "doc_id long, text string, source string")
+    goal = spark.createDataFrame([("a", 0.5, 100_000_000), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    m = mixing.mix(docs, goal).collect()
+    each, budget = m[0].n_tokens, 40 * m[0].n_tokens
+    assert sum(r.n_tokens * r.uses for r in m) == budget and sum(r.uses for r in m if r.source == "a") in range(18, 23) and {r.n_tokens for r in m} == {each}
+    s = {r.source: r for r in mixing.mix_shares(docs, goal).collect()}
+    assert all(abs(r.actual_share - 0.5) < 0.06 for r in s.values())
+    # more budget than the sources have: everything, as often as allowed
+    some = goal.withColumn("max_repeats", F.lit(2))
+    assert {(r.uses) for r in mixing.mix(docs, some, budget=10**9).collect()} == {2}
+
+
+def test_mix_is_the_fair_order(spark, monkeypatch):
     docs, goal = mix_input(spark)
-    goal, budget = goal.filter("source = 'small' OR source = 'list_serv'"), 60
-    got = {r.doc_id: r.uses for r in mixing.mix(docs, goal, budget=budget, buckets=4).collect()}
-    d = mixing.count_tokens(docs.drop("n_tokens").dropDuplicates(["doc_id"]).select("doc_id", mixing.source_key("source").alias("source"), "text"), "text", ["doc_id", "source"])
-    rows = d.filter("n_tokens > 0").withColumn("h", F.xxhash64("doc_id", F.lit(0))).withColumn("b", F.pmod("h", F.lit(4))).collect()
+    goal = goal.filter("source = 'small' OR source = 'list_serv'")
+    d = mixing.count_tokens(docs.drop("n_tokens").filter("text != 'again'").select("doc_id", mixing.source_key("source").alias("source"), "text"), "text", ["doc_id", "source"])
+    rows = d.filter("n_tokens > 0").withColumn("h", F.xxhash64("doc_id", F.lit(0))).collect()
+    first = docs.filter("text != 'again' OR text IS NULL")
     uses = []
     for name, w, k in (("list_serv", 0.5, 1), ("small", 0.4, 3)):
-        mine = sorted((r.b, r.h, r.doc_id, r.n_tokens) for r in rows if r.source == name)
-        up, size = 0, sum(x[3] for x in mine)
-        for *_, i, n in mine:
+        mine = sorted((r.h, r.doc_id, r.n_tokens) for r in rows if r.source == name)
+        up, size = 0, sum(x[2] for x in mine)
+        for _, i, n in mine:
             up += n
             uses += [((up + r * size) / w, name, i, r, n) for r in range(k)]
-    want: dict = {}
-    left = budget
-    for _, _, i, _, n in sorted(uses):
-        if n > left:
-            break
-        left -= n
-        want[i] = want.get(i, 0) + 1
-    assert got == want
+    for ranges in (100_000, 7):
+        monkeypatch.setattr(mixing, "RANGE_ROWS", ranges)
+        for budget in (0, 1, 60, 61, 500, 10_000):
+            want: dict = {}
+            left = budget
+            for _, _, i, _, n in sorted(uses):
+                if n > left:
+                    break
+                left -= n
+                want[i] = want.get(i, 0) + 1
+            assert {r.doc_id: r.uses for r in mixing.mix(first, goal, budget=budget).collect()} == want
 
 
 def test_topics_held_out(spark):
