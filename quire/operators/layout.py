@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,52 +12,74 @@ from pyspark.sql import functions as F
 
 from quire.functions import rx
 
-RANGE = re.compile(r"(\d{1,2})\s*(?:\\~|-{1,2}|—|–|~|至)\s*(\d{1,2})")
-# What announces each kind, the strong forms first.
-KINDS = {"multi": ("多项选择题", "多选题"), "single": ("单项选择题", "单选题")}
-BARE = {"multi": re.compile(r"(?:^|\n)\s*(?:\d+[、.．]\s*)?[一二三四1-4]?[、.．\s]*(?:多选|多项)\b"), "single": re.compile(r"(?:^|\n)\s*(?:\d+[、.．]\s*)?[一二三四1-4]?[、.．\s]*(?:单选|单项)\b")}
+# Words that announce each kind as a heading, words that do so only at the beginning of a line, words that tell
+# it after a range, and what may join the two numbers of a range.
+HEADS = {"multi": ("多项选择题", "多选题"), "single": ("单项选择题", "单选题")}
+LINE_HEADS = {"multi": ("多选", "多项"), "single": ("单选", "单项")}
 TELLS = {"single": ("只有一项", "单项", "只有1项", "只有一个"), "multi": ("有多项", "多项", "有多个")}
+JOINS = ("\\~", "--", "-", "—", "–", "~", "至")
 PAGES = 5
+#: characters between two headings of a kind that count as one; how far a range may stand after and before its heading; how far
+#: a tell-tale may stand after its range; the longest of two adjoining ranges and the widest gap between them
+SAME, AFTER, BEFORE, TELL, LONGEST, GAP = 20, 250, 30, 24, 30, 5
+_NUMBERING = "0123456789一二三四五、,.． \t"
 
 
-def _valid(m: re.Match) -> tuple[int, int] | None:
-    a, b = int(m[1]), int(m[2])
-    return (a, b) if 1 <= a <= b <= 50 else None
+class Found(NamedTuple):
+    """A heading (kind) or a range (first, last) between two places of a text."""
+
+    start: int
+    end: int
+    kind: str = ""
+    first: int = 0
+    last: int = 0
+
+
+def _ranges(text: str) -> list[Found]:
+    """Two numbers of 1 to 50 in order with nothing but a join between them."""
+    numbers = [m for m in re.finditer("[0-9]+", text) if m.end() - m.start() <= 2]
+    pairs = [(a, b) for a, b in zip(numbers, numbers[1:]) if text[a.end() : b.start()].strip() in JOINS]
+    return [Found(a.start(), b.end(), "", int(a[0]), int(b[0])) for a, b in pairs if 1 <= int(a[0]) <= int(b[0]) <= 50]
+
+
+def _headings(text: str) -> list[Found]:
+    """Headings in order; where both kinds begin at one place it is the multiple one, and a kind repeated at once counts once."""
+    found = {}
+    for kind in ("single", "multi"):
+        for words, anywhere in ((HEADS[kind], True), (LINE_HEADS[kind], False)):
+            for m in re.finditer(rx.any_of(words), text):
+                line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
+                if anywhere or not line.strip(_NUMBERING):
+                    longer = found.get(m.start())
+                    found[m.start()] = Found(m.start(), max(m.end(), longer.end if longer and longer.kind == kind else 0), kind)
+    heads = [found[k] for k in sorted(found)]
+    return [h for before, h in zip([None, *heads], heads) if before is None or before.kind != h.kind or h.start - before.end >= SAME]
 
 
 def ranges_in(text: str) -> dict[str, tuple[int, int]]:
     """{kind: (first, last)} of one page's text.
 
-    A heading of a kind takes the first range of the 250 characters after it, up to the next heading, else one in the 30
-    characters before it; then ``a至b题`` followed by a tell-tale within 15 characters; at last two adjoining ranges are
-    single and multiple.
+    A heading takes the first range up to the next heading, at most AFTER characters on, else one just before it; the first
+    heading of a kind that has one counts. For kinds still open a range counts that is followed by a tell-tale in its
+    sentence. Without any of these two adjoining ranges of question numbers are the single and the multiple ones.
     """
-    marks = [(m.start(), 0 if k == "multi" else 1, m.end(), k) for k, words in KINDS.items() for w in words for m in re.finditer(w, text)]
-    marks += [(m.start(), 0 if k == "multi" else 1, m.end(), k) for k, p in BARE.items() for m in p.finditer(text)]
+    ranges, heads = _ranges(text), _headings(text)
     out: dict[str, tuple[int, int]] = {}
-    end, last = -100, ""
-    heads = []
-    for start, _, stop, kind in sorted(marks):
-        if not (kind == last and start < end + 20):
-            heads.append((start, stop, kind))
-            end, last = stop, kind
-    limits = [h[0] for h in heads[1:]] + [len(text)]
-    for (start, stop, kind), limit in zip(heads, limits):
-        areas = (text[stop : min(stop + 250, max(limit, stop))], text[max(0, stop - 30) : start])
-        found = next((v for a in areas for m in RANGE.finditer(a) if (v := _valid(m))), None)
-        if found and kind not in out:
-            out[kind] = found
-    whole = [(m, v) for m in RANGE.finditer(text) if (v := _valid(m))]
-    for m, v in whole:
-        tail = re.match(r"\s*题?[^。\n]{0,24}", text[m.end() :])[0]
-        near = {k: min((tail.find(w) for w in words if w in tail), default=99) for k, words in TELLS.items()}
-        kind = min(near, key=near.get)
-        if near[kind] < 99 and kind not in out:
-            out[kind] = v
+    for h, following in zip(heads, [*(x.start for x in heads[1:]), len(text)]):
+        near = [r for r in ranges if h.end <= r.start and r.end <= min(h.end + AFTER, max(following, h.end))]
+        near += [r for r in ranges if h.start - BEFORE <= r.start and r.end <= h.start]
+        if near:
+            out.setdefault(h.kind, (near[0].first, near[0].last))
+    for r in ranges:
+        clause = re.split("[。\n]", text[r.end :], maxsplit=1)[0][: TELL + 1]
+        places = {k: min((clause.find(w) for w in words if w in clause), default=None) for k, words in TELLS.items()}
+        told = sorted((at, k) for k, at in places.items() if at is not None)
+        if told:
+            out.setdefault(told[0][1], (r.first, r.last))
     if not out:
-        named = [v for m, v in whole if re.match(r"\s*题", text[m.end() :]) and v[1] - v[0] <= 30]
-        if len(named) >= 2 and 0 < named[1][0] - named[0][1] <= 5:
-            out = {"single": named[0], "multi": named[1]}
+        named = [r for r in ranges if text[r.end :].lstrip().startswith("题") and r.last - r.first <= LONGEST]
+        if len(named) >= 2 and 0 < named[1].first - named[0].last <= GAP:
+            out = {"single": (named[0].first, named[0].last), "multi": (named[1].first, named[1].last)}
     return out
 
 

@@ -103,17 +103,25 @@ def _sql(expr: str) -> str:
 
 
 _GAP = "'\x01'"
-_BL = B.sub("content", "\\$[^$]*\\$", "\x01")
-_MARK = B.sub("content", "(\\$\\s*\\\\mathrm\\{[^}]*\\}\\s*\\$)", "\\1\x01")
-_INNER = lambda x: f"list_slice(string_split({x}, {_GAP}), 2, len(string_split({x}, {_GAP})) - 1)"
+# the rules of is_complex_equation on the pieces between dollars, said in lists
+_PIECES = "string_split(content, '$')"
+_CLOSED = f"(len({_PIECES}) - 1 - (len({_PIECES}) - 1) % 2)"
+_FORMULAS = f"list_filter(range(0, {_CLOSED}), lambda i: i % 2 = 1)"
+_MARKED = (
+    f"list_aggregate(list_transform(range(0, {_CLOSED} + 1), lambda i: CASE WHEN i % 2 = 0 THEN ({_PIECES})[i + 1] WHEN starts_with(ltrim(({_PIECES})[i + 1]), '\\mathrm{{') AND strpos(rtrim(({_PIECES})[i + 1]), '}}') = length(rtrim(({_PIECES})[i + 1]))"
+    f" THEN '$' || ({_PIECES})[i + 1] || '$' || {_GAP} ELSE '$' || ({_PIECES})[i + 1] || '$' END), 'string_agg', '')"
+)
+_FRAGS = f"string_split({_MARKED}, {_GAP})"
+_REST = "string_split(content, '\\mathrm')[-1]"
+_WORDS = "regexp_split_to_array(content, '\\s+')"
 _COMPLEX = (
-    f"(list_sum(list_transform(regexp_extract_all(content, '\\$[^$]*\\$') || [''], lambda x: length(x)))::DOUBLE / greatest(length(content), 1) >= 0.6 AND ("
-    + B.has("content", "\\\\x(?:rightarrow|leftarrow|rightleftharpoons|leftrightarrow)|\\\\rightleftharpoons|→|⇌")
-    + " OR " + B.has("content", "\\\\mathrm(?:\\{[^}]*)?$")
-    + f" OR len(list_filter({_INNER(_MARK)}, lambda x: length(x) < 30)) > 0"
-    + f" OR (len(regexp_extract_all(content, '\\$[^$]*\\$')) >= 3 AND len(list_filter({_INNER(_BL)}, lambda x: length(x) >= 10)) = 0)"
-    + " OR " + B.has("content", "\\\\[a-zA-Z]+\\s+\\{[A-Z]\\}\\s+_\\s+\\{") + "))"
-)
+    f"(coalesce(list_sum(list_transform({_FORMULAS}, lambda i: length(({_PIECES})[i + 1]) + 2)), 0)::DOUBLE / greatest(length(content), 1) >= 0.6 AND ("
+    + " OR ".join(f"contains(content, {B.q(a)})" for a in C.ARROWS)
+    + f" OR (contains(content, '\\mathrm') AND ({_REST} = '' OR (starts_with({_REST}, '{{') AND NOT contains({_REST}, '}}'))))"
+    f" OR len(list_filter(list_slice({_FRAGS}, 2, len({_FRAGS}) - 1), lambda x: length(x) < 30)) > 0"
+    f" OR (len({_FORMULAS}) >= 3 AND len(list_filter(range(2, {_CLOSED}, 2), lambda i: length(({_PIECES})[i + 1]) >= 10)) = 0)"
+    f" OR len(list_filter(range(1, greatest(len({_WORDS}) - 2, 1)), lambda i: regexp_matches(({_WORDS})[i], '[\\][A-Za-z]+$') AND regexp_matches(({_WORDS})[i + 1], '^[{{][A-Z][}}]$') AND ({_WORDS})[i + 2] = '_' AND starts_with(({_WORDS})[i + 3], '{{'))) > 0))"
+)
 _LBL = f"(^|[^\\p{{L}}\\p{{N}}_}}])([ABCD]{rx.DOT}){rx.S}"
 _TAILP = f"^([\\s\\S]*?(?:求|计算){rx.S}*[:：])([\\s\\S]*)$"
 _PROSE = (
