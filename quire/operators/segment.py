@@ -73,18 +73,30 @@ def segment_markdown(lines: DataFrame) -> DataFrame:
     """(doc_id, seg, q_index, section, page, col_side, stem, options, q_type) from Markdown lines.
 
     Page marks ``P3L`` set page and column; ``## 一、`` sets the section; ``12.`` opens a question; lines that start with
-    an option label are options while a question is open, and are split if several labels stand in them.
+    an option label are options while a question is open, and are split if several labels stand in them. An option line in
+    which ``3.`` and a character beyond ASCII follow opens question 3 there, with the rest of the line as its stem. If a
+    question has no options but its stem goes on with options after empty brackets, these are its options.
     """
-    order = ["block_ord", "block_id", "line_no"]
+    order = ["block_ord", "block_id", "line_no", "part"]
     t = F.col("line")
     n = lines.withColumn("line", X.clean_block(t)).filter((F.col("line") != "") & ~F.col("line").startswith("<!--"))
     mark = t.rlike("^P[0-9]+[LR]$")
     section = F.when(t.rlike(f"^##{rx.S}*[一二三四五六七八九十]+(?:{rx.DOT}|{rx.S})"), X.strip(F.substring(t, 3, 1 << 20)))
     opener = f"^({rx.D}{{1,3}})(?:{rx.DOT}|{rx.S})"
-    num = X.ascii_digits(F.regexp_extract(t, opener, 1))
-    num = F.when(num != "", num.cast("int"))
-    n = n.withColumn("mark", mark).withColumn("sec", section).withColumn("num", F.when(num.between(1, 50) & ~mark & section.isNull(), num))
-    n = materialise(n.select("doc_id", *order, "line", "mark", "sec", "num"))
+    number = lambda x: F.when(x != "", X.ascii_digits(x).cast("int"))
+    n = n.withColumn("mark", mark).withColumn("sec", section)
+    num = number(F.regexp_extract(t, opener, 1))
+    n = n.withColumn("num", F.when(num.between(1, 50) & ~F.col("mark") & F.col("sec").isNull(), num))
+    # a question that opens within an option line: the line becomes two parts
+    inner = f"^([\\s\\S]*?)({rx.D}+)\\.([^\\x00-\\x7f][\\s\\S]*)$"
+    n = n.withColumn("late", F.when(F.col("num").isNull() & t.rlike(rx.OPTION_START), number(F.regexp_extract(t, inner, 2))))
+    n = materialise(n.select("doc_id", *order[:3], "line", "mark", "sec", "num", F.when(F.col("late").between(1, 50), F.col("late")).alias("late")))
+    first = n.filter("num IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*order[:3])).alias("first"))
+    n = n.join(first, "doc_id").withColumn("late", F.when(F.struct(*order[:3]) > F.col("first"), F.col("late"))).drop("first")
+    whole = F.struct(F.lit(0).alias("part"), t.alias("line"), F.col("num").alias("num"), F.lit(False).alias("opened"))
+    head = F.struct(F.lit(0).alias("part"), X.strip(F.regexp_extract(t, inner, 1)).alias("line"), F.lit(None).cast("int").alias("num"), F.lit(False).alias("opened"))
+    tail = F.struct(F.lit(1).alias("part"), F.regexp_extract(t, inner, 3).alias("line"), F.col("late").alias("num"), F.lit(True).alias("opened"))
+    n = n.withColumn("p", F.explode(F.when(F.col("late").isNull(), F.array(whole)).otherwise(F.array(head, tail)))).select("doc_id", *order[:3], "mark", "sec", "p.*")
     n = running(
         n, ["doc_id"], order,
         section=("last", F.col("sec")),
@@ -93,15 +105,24 @@ def segment_markdown(lines: DataFrame) -> DataFrame:
         seg=("sum", F.col("num").isNotNull().cast("int")),
     )
     n = n.filter("seg > 0 AND NOT mark AND sec IS NULL").withColumn("opt", F.col("num").isNull() & t.rlike(rx.OPTION_START))
-    n = n.withColumn("body", F.when(F.col("num").isNotNull(), X.strip(F.regexp_replace(t, opener, ""))).otherwise(t))
+    n = n.withColumn("body", F.when(F.col("opened"), X.strip(t)).when(F.col("num").isNotNull(), X.strip(F.regexp_replace(t, opener, ""))).otherwise(t))
     g = n.groupBy("doc_id", "seg").agg(F.max("num").alias("q_index"), F.min_by("section", F.struct(*order)).alias("section"), F.min_by("page", F.struct(*order)).alias("page"), F.min_by("side", F.struct(*order)).alias("col_side"), F.array_sort(F.collect_list(F.struct(*order, "opt", "body"))).alias("rows"))
     stem = X.strip(F.array_join(F.transform(F.filter("rows", lambda r: ~r["opt"]), lambda r: r["body"]), "\n"))
     split = lambda b: F.when(count_options(b) >= 2, split_options(b)["options"]).otherwise(F.array(b))
     options = F.flatten(F.transform(F.filter("rows", lambda r: r["opt"]), lambda r: split(r["body"])))
     r = g.select("doc_id", "seg", "q_index", "section", "page", "col_side", stem.alias("stem"), options.alias("options"))
+    # options behind empty brackets at the end of a stem
+    after = f"^([\\s\\S]*?){rx.OPEN}{rx.S}*{rx.CLOSE}{rx.S}*([ABCD](?:{rx.DOT}|{rx.S})[^\\n]*)([\\s\\S]*)$"
+    found = (F.size("options") == 0) & F.col("stem").rlike(after)
+    pieces = F.filter(F.transform(F.split(F.regexp_extract("stem", after, 2), f"(?=[ABCD](?:{rx.DOT}|{rx.S}))"), X.strip), lambda x: x.rlike(rx.OPTION_START))
+    r = r.withColumns({"options": F.when(found, pieces).otherwise(F.col("options")), "stem": F.when(found, X.strip(F.concat(X.rstrip(F.regexp_extract("stem", after, 1)), F.regexp_extract("stem", after, 3)))).otherwise(F.col("stem"))})
     return r.withColumn("q_type", section_type(F.coalesce("section", F.lit("")), F.size("options"), F.col("stem")))
 
 
+#: a figure that a text refers to by a label
+FIGURE_REF = f"图{rx.S}*[(（]?[a-zA-Z0-9一二三四五甲乙丙丁]"
+
+
 def figure_quota(text, images):  # noqa: ANN001, ANN201
     """images of an exam's questions, in order -> images after the quota: a question keeps as many as it refers to (99 if it
     refers to none), the rest move on to the next question, and what the last one can't keep is lost.
@@ -109,7 +130,7 @@ def figure_quota(text, images):  # noqa: ANN001, ANN201
     ``text``: array of question texts; ``images``: array of arrays of the same length.
     """
     pairs = F.arrays_zip(text.alias("t"), images.alias("i"))
-    refs = lambda t: F.regexp_count(F.coalesce(t, F.lit("")), F.lit("如图|图[甲乙丙丁0-9０-９]|下图|右图|左图"))
+    refs = lambda t: F.regexp_count(F.coalesce(t, F.lit("")), F.lit(FIGURE_REF))
     quota = lambda t: F.when(refs(t) > 0, refs(t)).otherwise(99)
     empty = F.array().cast("array<string>")
     start = F.struct(F.array().cast("array<array<string>>").alias("done"), empty.alias("rest"))
@@ -167,45 +188,84 @@ def normalise(df: DataFrame, content: str = "content_md", q_type: str = "q_type"
     return out.withColumn(paths, distinct_paths(F.col(paths))) if paths else out
 
 
-UNIT = f"^{rx.S}*(?:kg|m/|s/|J |N |W |kg·|m/s|J/s|[0-9.]+{rx.S}*[ab])"
-NOISE = "ZZZZ|\\?\\?|\\{\\}.*\\{\\}|<<|>>"
-FIGURE = "如图|图[甲乙丙丁0-9０-９]|下图|右图|左图|所示"
+# Units that a number at the beginning of a line may belong to, noise of a recogniser, words for a figure.
+UNIT = f"^{rx.S}*(?:kg|m/|s/|J/s|[JNW] |[0-9]+\\.?[0-9]*{rx.S}*[a-zA-Z]{rx.S}*/{rx.S}*[a-zA-Z])"
+NOISE = "ZZZZ|[{}][{}]|<<|>>|[?][?](?:\\s|$)"
+FIGURE = "如图|图像|示意图"
+#: how far below a question's last text a figure still belongs to it
+BELOW = 50.0
 
 
 def segment_blocks(blocks: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(doc_id, block_id, seg, q_index, section): every block's question, in reading order.
+    """(doc_id, block_id, block_ord, seg, q_index, section, t, opener, options): every block's question, in reading order.
 
     A text block that begins with a number of 1 to 50 (no option, and no unit after it) opens a question; headings set the
     section and belong to none, as does short noise. Equations before the first question belong to it, other such blocks are
-    dropped. A figure between two questions goes to the earlier one if that speaks of a figure, else to the later one;
-    figures after the last text stay with the last question. ``labels`` (block_id, label) are put before their blocks.
+    dropped. A figure belongs to the question that is open where it stands, or to the one before that if its text speaks
+    of a figure, or if that has options and its last text ends less than BELOW above the figure's lower edge; figures before
+    the first question belong to it, and figures after the last other block stay with the last question. ``labels``
+    (block_id, label) are put before their blocks. ``t`` is the clean text, ``options`` whether the block is or has options.
     """
-    b = distinct_blocks(blocks).filter("doc_id IS NOT NULL")
+    b = blocks.select(*BLOCK_COLUMNS, "bbox").dropDuplicates(["block_id"]).filter("doc_id IS NOT NULL")
     if labels is not None:
         b = b.join(labels, "block_id", "left").withColumn("content", F.when(F.col("label").isNotNull(), F.concat_ws(" ", "label", "content")).otherwise(F.col("content"))).drop("label")
     text = F.col("block_type") == "text"
     t = X.clean_block(F.coalesce("content", F.lit("")))
     opener = f"^({rx.D}{{1,3}})(?:{rx.DOT}|{rx.S})"
-    num = X.ascii_digits(F.regexp_extract(t, opener, 1))
-    rest = F.regexp_replace(t, opener, "")
-    option = t.rlike(rx.OPTION_START)
+    b = materialise(b.withColumn("t", t).select("doc_id", "block_ord", "block_id", "block_type", "text_level", "t", F.when(F.size("bbox") == 4, F.greatest(F.get("bbox", F.lit(1)), F.get("bbox", F.lit(3)))).alias("bottom")))
+    num = X.ascii_digits(F.regexp_extract("t", opener, 1))
+    rest = F.regexp_replace("t", opener, "")
+    option = F.col("t").rlike(rx.OPTION_START)
     heading = text & (F.coalesce("text_level", F.lit(0)) == 1)
-    b = b.withColumn("t", t).withColumn("noise", text & (F.length(t) < 30) & t.rlike(NOISE) & ~option)
-    b = b.withColumn("num", F.when(text & ~heading & ~F.col("noise") & ~option & (num != "") & ~rest.rlike(UNIT), num.cast("int"))).withColumn("num", F.when(F.col("num").between(1, 50), F.col("num"))).withColumn("heading", heading)
+    noise = text & (F.length("t") < 30) & F.col("t").rlike(NOISE) & ~option
+    n = b.withColumn("noise", noise).withColumn("heading", heading).withColumn("num", F.when(text & ~F.col("heading") & ~F.col("noise") & ~option & (num != "") & ~rest.rlike(UNIT), num.cast("int")))
+    n = n.withColumn("num", F.when(F.col("num").between(1, 50), F.col("num")))
     order = ["block_ord", "block_id"]
-    b = materialise(b.select("doc_id", *order, "block_type", "noise", "heading", "num", F.when(F.col("heading"), F.col("t")).alias("head"), (text & F.col("t").rlike(FIGURE)).alias("figures")))
-    b = running(b, ["doc_id"], order, at=("sum", F.col("num").isNotNull().cast("int")), q_index=("last", F.col("num")), section=("last", F.col("head")))
-    # the segment of the next block that isn't a figure: the same running value, read backwards
-    top = 1 << 30
-    b = running(b.withColumn("back", F.lit(top) - F.col("block_ord")).withColumn("back_id", -F.col("block_id")), ["doc_id"], ["back", "back_id"], ahead=("last", F.when(F.col("block_type") != "image", F.col("at"))))
-    said = b.filter(text & (F.col("at") > 0)).groupBy("doc_id", "at").agg(F.max("figures").alias("figure"), F.max("num").alias("n"))
-    early = said.select("doc_id", "at", "figure")
+    plain = text & ~F.col("heading") & ~F.col("noise")
+    n = n.select("doc_id", *order, "block_type", "noise", "heading", "num", "bottom", F.when(F.col("heading"), F.col("t")).alias("head"), (plain & ~option & F.col("t").rlike(FIGURE)).alias("figures"), (plain & option).alias("option"), (plain & (option | (count_options(F.col("t")) >= 2))).alias("options"))
+    n = running(n, ["doc_id"], order, at=("sum", F.col("num").isNotNull().cast("int")), section=("last", F.col("head")))
+    body = ~F.col("heading") & ~F.col("noise") & ~F.col("option") & (F.col("block_type") != "image")
+    q = n.filter("at > 0").groupBy("doc_id", "at").agg(
+        F.max("num").alias("q_index"), F.max("figures").alias("figure"), F.max("options").alias("has_options"),
+        F.max_by(F.when(text, F.col("bottom")), F.when(body, F.struct(*order))).alias("ends"),
+    )
+    last = n.filter("block_type != 'image'").groupBy("doc_id").agg(F.max(F.struct(*order)).alias("last"), F.max("at").alias("asked"))
+    before = q.select("doc_id", (F.col("at") + 1).alias("at"), "figure", "has_options", "ends")
+    r = n.join(before, ["doc_id", "at"], "left").join(last, "doc_id", "left")
     image = F.col("block_type") == "image"
-    later = image & (F.coalesce("ahead", F.col("at")) > F.col("at")) & ~((F.col("at") > 0) & F.coalesce("figure", F.lit(False)))
-    seg = F.when(later, F.col("ahead")).when((F.col("at") == 0) & (F.col("block_type") == "equation"), 1).otherwise(F.col("at"))
-    r = b.join(early, ["doc_id", "at"], "left").withColumn("seg", seg).filter("seg > 0 AND NOT noise AND NOT heading")
-    index = said.select("doc_id", F.col("at").alias("seg"), F.col("n").alias("q_index"))
-    return r.select("doc_id", "block_id", "seg", "section").join(index, ["doc_id", "seg"], "left")
+    back = F.coalesce("figure", F.lit(False)) | (F.coalesce("has_options", F.lit(False)) & F.coalesce(F.coalesce("bottom", F.lit(0.0)) < F.col("ends") + BELOW, F.lit(False)))
+    seg = (
+        F.when(image & (F.col("at") == 0), F.when(F.col("asked") > 0, 1).otherwise(0))
+        .when(image & (F.struct(*order) < F.col("last")) & back, F.col("at") - 1)
+        .when((F.col("at") == 0) & (F.col("block_type") == "equation") & (F.col("asked") > 0), 1)
+        .otherwise(F.col("at"))
+    )
+    r = r.withColumn("seg", seg).filter("seg > 0 AND NOT noise AND NOT heading").select("doc_id", "block_id", "block_ord", "seg", "section", F.col("num").isNotNull().alias("opener"), "options")
+    index = q.select("doc_id", F.col("at").alias("seg"), "q_index")
+    return r.join(index, ["doc_id", "seg"], "left").join(b.select("block_id", "block_type", "t"), "block_id")
+
+
+def block_questions(segments: DataFrame) -> DataFrame:
+    """(doc_id, seg, q_index, section, stem, options, q_type, n_images): questions out of the blocks of segment_blocks.
+
+    Option blocks become options, several in one block are parted; in experiment sections they stay in the text. Text that
+    holds two or more labels is stem up to the first one and options from there.
+    """
+    opener = f"^({rx.D}{{1,3}})(?:{rx.DOT}|{rx.S})"
+    x = F.when(F.col("opener"), X.strip(F.regexp_replace("t", opener, ""))).otherwise(F.col("t"))
+    lab = F.coalesce(F.col("section"), F.lit("")).contains("实验") & F.col("t").rlike(rx.OPTION_START)
+    r = segments.withColumn("x", x).withColumn("text", F.col("block_type") == "text").withColumn("many", (count_options(F.col("x")) >= 2) & ~lab).withColumn("single", F.col("x").rlike(rx.OPTION_START) & ~lab & ~F.col("many"))
+    none = F.array().cast("array<string>")
+    split = F.when(F.col("text") & F.col("many"), split_options(F.col("x")))
+    r = r.withColumn("split", split).withColumn("opts", F.when(F.col("text") & F.col("many"), F.col("split.options")).when(F.col("text") & F.col("single"), F.array("x")).otherwise(none))
+    r = r.withColumn("said", F.when(F.col("text") & F.col("many"), F.col("split.stem")).when(F.col("text") & ~F.col("single"), F.col("x")))
+    g = r.groupBy("doc_id", "seg").agg(
+        F.max("q_index").alias("q_index"), F.min_by("section", F.struct("block_ord", "block_id")).alias("section"), F.count_if(F.col("block_type") == "image").alias("n_images"),
+        F.array_sort(F.collect_list(F.struct("block_ord", "block_id", "said", "opts"))).alias("rows"),
+    )
+    stem = X.strip(F.array_join(F.transform(F.filter("rows", lambda y: y["said"].isNotNull() & (y["said"] != "")), lambda y: y["said"]), "\n"))
+    g = g.select("doc_id", "seg", "q_index", "section", stem.alias("stem"), F.flatten(F.transform("rows", lambda y: y["opts"])).alias("options"), "n_images")
+    return g.withColumn("q_type", section_type(F.coalesce("section", F.lit("")), F.size("options"), F.col("stem")))
 
 
 def attach_topics(questions: DataFrame, topic: str, role: str = "main", priority: int = 100) -> tuple[DataFrame, DataFrame]:

@@ -36,15 +36,19 @@ def with_positions(blocks: DataFrame) -> DataFrame:
 
 
 def images_by_range(blocks: DataFrame) -> DataFrame:
-    """(block_id, q_ord, assigned): the question of a page whose range [its y, the next one's y) holds the image, else the page's last question.
+    """(block_id, q_ord, assigned): the question of a page's column whose range [its y, the next one's y) holds the image, else the
+    last question of that column; null if the column has none. Images without a column (other than 0 and 1) are matched
+    with the questions of the whole page.
 
-    An as-of join by one sort: questions and images of a page in one order, the last question so far carried on.
+    An as-of join by one sort: questions and images of a column in one order, the last question so far carried on.
     """
-    p = with_positions(blocks)
-    q = p.filter("q_ord IS NOT NULL AND block_type != 'image'").groupBy("doc_id", "page_idx", F.col("q_ord").alias("q")).agg(F.min("y").alias("y"))
-    i = p.filter("block_type = 'image'").select("doc_id", "page_idx", "y", "block_id", "q_ord", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("q"))
-    q = q.select("doc_id", "page_idx", "y", F.lit(None).cast("bigint").alias("block_id"), F.lit(None).cast("int").alias("q_ord"), F.lit(0).alias("kind"), "q")
-    w = W.partitionBy("doc_id", "page_idx")
+    p = with_positions(blocks).withColumn("side", F.when(F.col("col_side").isin(0, 1), F.col("col_side")).otherwise(-1))
+    q = p.filter("q_ord IS NOT NULL AND block_type != 'image'").groupBy("doc_id", "page_idx", "side", F.col("q_ord").alias("q")).agg(F.min("y").alias("y"))
+    page = q.groupBy("doc_id", "page_idx", "q").agg(F.min("y").alias("y")).withColumn("side", F.lit(-1))
+    q = q.filter("side >= 0").unionByName(page)
+    i = p.filter("block_type = 'image'").select("doc_id", "page_idx", "side", "y", "block_id", "q_ord", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("q"))
+    q = q.select("doc_id", "page_idx", "side", "y", F.lit(None).cast("bigint").alias("block_id"), F.lit(None).cast("int").alias("q_ord"), F.lit(0).alias("kind"), "q")
+    w = W.partitionBy("doc_id", "page_idx", "side")
     u = q.unionByName(i).withColumn("here", F.last("q", ignorenulls=True).over(w.orderBy("y", "kind", "q", "block_id").rowsBetween(W.unboundedPreceding, 0))).withColumn("final", F.max_by("q", F.when(F.col("kind") == 0, F.struct("y", "q"))).over(w))
     return u.filter("kind = 1").select("block_id", "q_ord", F.coalesce("here", "final").alias("assigned"))
 

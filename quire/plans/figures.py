@@ -90,9 +90,9 @@ _B = "WITH b AS (SELECT DISTINCT block_id, doc_id, block_ord, q_ord, block_type,
 _NAME = lambda c: B.ext(c, "([^/\\\\]*)$", 1)
 QUERIES = {f.__name__: f for f in (img_range, img_nearest, img_relink, img_orphan, img_fill, img_rank, tiny_image, img_warnings, block_centres, a3_pages, a3_sides, a3_join, layout_multi, layout_ranges)}
 ORACLE = {
-    "img_range": f"{_B}, p AS (SELECT *, coalesce(y0, (row_number() OVER w - 1)::DOUBLE / count(*) OVER (PARTITION BY doc_id, page_idx, block_type) * 842) AS y FROM b WINDOW w AS (PARTITION BY doc_id, page_idx, block_type ORDER BY block_ord, block_id)),"
-    " qy AS (SELECT doc_id, page_idx, q_ord AS q, min(y) AS y FROM p WHERE q_ord IS NOT NULL AND block_type <> 'image' GROUP BY ALL), i AS (SELECT * FROM p WHERE block_type = 'image')"
-    " SELECT i.block_id, any_value(i.q_ord) AS q_ord, coalesce(arg_max(qy.q, (qy.y, qy.q)) FILTER (WHERE qy.y <= i.y), arg_max(qy.q, (qy.y, qy.q))) AS assigned FROM i LEFT JOIN qy ON i.doc_id = qy.doc_id AND i.page_idx = qy.page_idx GROUP BY i.block_id",
+    "img_range": f"{_B}, p AS (SELECT *, CASE WHEN col_side IN (0, 1) THEN col_side ELSE -1 END AS side, coalesce(y0, (row_number() OVER w - 1)::DOUBLE / count(*) OVER (PARTITION BY doc_id, page_idx, block_type) * 842) AS y FROM b WINDOW w AS (PARTITION BY doc_id, page_idx, block_type ORDER BY block_ord, block_id)),"
+    " qy AS (SELECT doc_id, page_idx, side, q_ord AS q, min(y) AS y FROM (SELECT * FROM p WHERE side >= 0 UNION ALL SELECT * REPLACE (-1 AS side) FROM p) WHERE q_ord IS NOT NULL AND block_type <> 'image' GROUP BY ALL), i AS (SELECT * FROM p WHERE block_type = 'image')"
+    " SELECT i.block_id, any_value(i.q_ord) AS q_ord, coalesce(arg_max(qy.q, (qy.y, qy.q)) FILTER (WHERE qy.y <= i.y), arg_max(qy.q, (qy.y, qy.q))) AS assigned FROM i LEFT JOIN qy ON i.doc_id = qy.doc_id AND i.page_idx = qy.page_idx AND i.side = qy.side GROUP BY i.block_id",
     "img_nearest": f"{_B}, i AS (SELECT block_id, doc_id, page_idx, q_ord AS own, (y0 + y1) / 2 AS y FROM b WHERE block_type = 'image'), x AS (SELECT doc_id, page_idx, q_ord AS q, y0, y1, coalesce(contains(content, '如图'), false) AS refers FROM b WHERE block_type = 'text' AND q_ord IS NOT NULL)"
     " SELECT i.block_id, any_value(own) AS q_ord, coalesce(arg_min(q, (y0, q)) FILTER (WHERE y0 <= y AND y <= y1), arg_max(q, (y0, q)) FILTER (WHERE y1 < y), any_value(own), min(q) FILTER (WHERE refers)) AS assigned FROM i LEFT JOIN x USING (doc_id, page_idx) GROUP BY i.block_id",
     "img_relink": f"WITH i AS (SELECT DISTINCT doc_id, path FROM page_images WHERE path IS NOT NULL), m AS (SELECT i.*, (SELECT min(block_id) FROM blocks b WHERE b.doc_id = i.doc_id AND b.img_path = i.path) AS ex, (SELECT min(block_id) FROM blocks b WHERE b.doc_id = i.doc_id AND {_NAME('b.img_path')} = {_NAME('i.path')}) AS nm FROM i)"

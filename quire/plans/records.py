@@ -117,7 +117,7 @@ def figure_flow(s: SparkSession, d: str) -> DataFrame:
     running aggregates, so an exam of any size is never in one task.
     """
     b = t(s, d, "blocks").drop("ingested_at").distinct().filter("q_ord IS NOT NULL")
-    refs = F.sum(F.when(F.col("block_type") == "text", F.regexp_count(F.coalesce("content", F.lit("")), F.lit("如图|图[甲乙丙丁0-9０-９]|下图|右图|左图"))).otherwise(0))
+    refs = F.sum(F.when(F.col("block_type") == "text", F.regexp_count(F.coalesce("content", F.lit("")), F.lit(S.FIGURE_REF))).otherwise(0))
     q = b.groupBy("doc_id", "q_ord").agg(F.when(refs > 0, refs).otherwise(99).alias("quota"), F.count_if((F.col("block_type") == "image") & F.col("img_path").isNotNull()).alias("n"))
     r = running(q, ["doc_id"], ["q_ord"], p=("sum", F.col("n") - F.col("quota")))
     r = running(r, ["doc_id"], ["q_ord"], low=("max", -F.col("p")))
@@ -164,6 +164,6 @@ ORACLE = {
     "render_cards": f"{_MD}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(q_index, 0), q_ord) AS seq, replace({B.sub(B.sub(_LATEX, '[ \\t]+(\\n)', '\\1'), '[ \\t]{2,}', '\x01')}, '\x01', ' ') AS body FROM md) SELECT doc_id, seq, md5({_CARD}) AS html_md5 FROM n",
     "exam_totals": f"{_EX} SELECT doc_id, count(*) AS n, min(q_index) AS first, max(q_index) AS last, bool_and(source_page = 0) AS flat, count(*) FILTER (WHERE question_type = 'choice') AS choices FROM q GROUP BY doc_id",
     "qnum_font": _FONT,
-    "figure_flow": "WITH b AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM blocks WHERE q_ord IS NOT NULL), r AS (SELECT doc_id, q_ord, sum(CASE WHEN block_type = 'text' THEN len(regexp_extract_all(coalesce(content, ''), '如图|图[甲乙丙丁0-9０-９]|下图|右图|左图')) ELSE 0 END) AS refs, count(*) FILTER (WHERE block_type = 'image' AND img_path IS NOT NULL) AS n FROM b GROUP BY ALL),"
+    "figure_flow": "WITH b AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM blocks WHERE q_ord IS NOT NULL), r AS (SELECT doc_id, q_ord, sum(CASE WHEN block_type = 'text' THEN len(regexp_extract_all(replace(replace(replace(coalesce(content, ''), '　', ''), ' ', ''), chr(10), ''), '图[(（]?[a-zA-Z0-9一二三四五甲乙丙丁]')) ELSE 0 END) AS refs, count(*) FILTER (WHERE block_type = 'image' AND img_path IS NOT NULL) AS n FROM b GROUP BY ALL),"
     " p AS (SELECT *, sum(n - CASE WHEN refs > 0 THEN refs ELSE 99 END) OVER w AS p FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY q_ord)) SELECT doc_id, q_ord, n AS n_images, (p - least(0, min(p) OVER (PARTITION BY doc_id ORDER BY q_ord)))::BIGINT AS handed_on FROM p",
 }

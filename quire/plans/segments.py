@@ -44,6 +44,11 @@ def seg_blocks(s: SparkSession, d: str) -> DataFrame:
     return S.segment_blocks(t(s, d, "blocks"), _labels(s, d)).select("block_id", F.col("seg").cast("bigint").alias("seg"), "q_index", "section")
 
 
+def seg_block_questions(s: SparkSession, d: str) -> DataFrame:
+    r = S.block_questions(S.segment_blocks(t(s, d, "blocks"), _labels(s, d)))
+    return r.select("doc_id", F.col("seg").cast("bigint").alias("seg"), "q_index", "section", F.size("options").cast("bigint").alias("n_options"), "q_type", "n_images")
+
+
 def topic_bridge(s: SparkSession, d: str) -> DataFrame:
     """Questions by the topic they are attached to, through the bridge."""
     q = S.distinct_questions(t(s, d, "questions"))
@@ -92,37 +97,56 @@ _TOP = f"coalesce({B.circled_top('line')}, {B.digit_top('line')})"
 _SEC = f"CASE WHEN {B.has('line', f'^##{rx.S}*[一二三四五六七八九十]+(?:{rx.DOT}|{rx.S})')} THEN {B.strip('substr(line, 3)')} END"
 _OPENER = f"^({rx.D}{{1,3}})(?:{rx.DOT}|{rx.S})"
 _COUNT = lambda x: B.count(B.sub(x, "\\$[^$]*\\$", "\n"), "[ABCD]\\.")
+_LATE = "^(.*?)([0-9０-９]+)\\.([^\\x00-\\x7f].*)$"
+_AFTER = f"^((?s:.*?))[（(]{rx.S}*[）)]{rx.S}*([ABCD](?:[.．、]|{rx.S})[^\\n]*)((?s:.*))$"
+_PIECE = f"len(list_filter(string_split({B.sub(B.ext('stem0', _AFTER, 2), f'([ABCD](?:[.．、]|{rx.S}))', '\x01\\1')}, '\x01'), lambda x: {B.has(B.strip('x'), f'^[ABCD](?:[.．、]|{rx.S})')}))::INTEGER"
 _MARKDOWN = (
-    f"WITH {B.LINES}, c AS (SELECT doc_id, block_ord, block_id, line_no, {B.clean_block('''CASE WHEN text_level = 1 THEN '## ' || line ELSE line END''')} AS line FROM lines),"
+    f"WITH {B.LINES}, c AS (SELECT doc_id, block_ord, block_id, line_no, {B.clean_block("CASE WHEN text_level = 1 THEN '## ' || line ELSE line END")} AS line FROM lines),"
     f" n AS (SELECT *, {_SEC} AS sec, {B.number('line', _OPENER, 1)} AS k FROM c WHERE line <> '' AND NOT starts_with(line, '<!--') AND NOT {B.has('line', '^P[0-9]+[LR]$')}),"
-    " m AS (SELECT *, CASE WHEN sec IS NULL AND k BETWEEN 1 AND 50 THEN k END AS num FROM n),"
-    " w AS (SELECT *, last_value(sec IGNORE NULLS) OVER w AS section, sum(CASE WHEN num IS NOT NULL THEN 1 ELSE 0 END) OVER w AS seg FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY block_ord, block_id, line_no ROWS UNBOUNDED PRECEDING)),"
-    f" o AS (SELECT *, num IS NULL AND {B.has('line', rx.OPTION_START)} AS opt, CASE WHEN num IS NOT NULL THEN {B.strip(B.sub('line', _OPENER, '', ''))} ELSE line END AS body FROM w WHERE seg > 0 AND sec IS NULL),"
-    f" g AS (SELECT doc_id, seg::BIGINT AS seg, max(num) AS q_index, arg_min(section, (block_ord, block_id, line_no)) FILTER (WHERE section IS NOT NULL) AS section0, {B.strip('''coalesce(string_agg(body, chr(10) ORDER BY block_ord, block_id, line_no) FILTER (WHERE NOT opt), '')''')} AS stem,"
-    f" coalesce(sum(CASE WHEN {_COUNT('body')} >= 2 THEN {B.count(B.sub('body', '\\$[^$]*\\$', ''), f'[ABCD]{rx.DOT}')} ELSE 1 END) FILTER (WHERE opt), 0)::INTEGER AS n_options, arg_min(coalesce(section, ''), (block_ord, block_id, line_no)) AS section1 FROM o GROUP BY doc_id, seg)"
-    " SELECT doc_id, seg, q_index, nullif(section1, '') AS section, stem, n_options, CASE WHEN n_options > 0 THEN 'choice' WHEN contains(section1, '实验') THEN 'experiment' WHEN regexp_matches(section1, '计算|解答') THEN 'calculation' WHEN contains(section1, '填空') THEN 'fill_blank' ELSE 'unknown' END AS q_type FROM g"
+    f" m0 AS (SELECT *, CASE WHEN sec IS NULL AND k BETWEEN 1 AND 50 THEN k END AS num, CASE WHEN {B.has('line', rx.OPTION_START)} THEN {B.number('line', _LATE, 2)} END AS lt FROM n),"
+    " m1 AS (SELECT *, CASE WHEN num IS NULL AND lt BETWEEN 1 AND 50 AND coalesce(max(CASE WHEN num IS NOT NULL THEN 1 END) OVER (PARTITION BY doc_id ORDER BY block_ord, block_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN lt END AS late FROM m0),"
+    f" m AS (SELECT doc_id, block_ord, block_id, line_no, 0 AS part, sec, num, CASE WHEN late IS NULL THEN line ELSE {B.strip(B.ext('line', _LATE, 1))} END AS line FROM m1 UNION ALL SELECT doc_id, block_ord, block_id, line_no, 1, NULL, late, {B.ext('line', _LATE, 3)} FROM m1 WHERE late IS NOT NULL),"
+    " w AS (SELECT *, last_value(sec IGNORE NULLS) OVER w AS section, sum(CASE WHEN num IS NOT NULL THEN 1 ELSE 0 END) OVER w AS seg FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY block_ord, block_id, line_no, part ROWS UNBOUNDED PRECEDING)),"
+    f" o AS (SELECT *, num IS NULL AND {B.has('line', rx.OPTION_START)} AS opt, CASE WHEN part = 1 THEN {B.strip('line')} WHEN num IS NOT NULL THEN {B.strip(B.sub('line', _OPENER, '', ''))} ELSE line END AS body FROM w WHERE seg > 0 AND sec IS NULL),"
+    f" g AS (SELECT doc_id, seg::BIGINT AS seg, max(num) AS q_index, {B.strip("coalesce(string_agg(body, chr(10) ORDER BY block_ord, block_id, line_no, part) FILTER (WHERE NOT opt), '')")} AS stem0,"
+    f" coalesce(sum(CASE WHEN {_COUNT('body')} >= 2 THEN {B.count(B.sub('body', '\\$[^$]*\\$', ''), f'[ABCD]{rx.DOT}')} ELSE 1 END) FILTER (WHERE opt), 0)::INTEGER AS n0, arg_min(coalesce(section, ''), (block_ord, block_id, line_no, part)) AS section1 FROM o GROUP BY doc_id, seg),"
+    f" h AS (SELECT *, CASE WHEN n0 = 0 AND {B.has('stem0', _AFTER)} THEN {_PIECE} ELSE n0 END AS n_options, CASE WHEN n0 = 0 AND {B.has('stem0', _AFTER)} THEN {B.strip(f"{B.rstrip(B.ext('stem0', _AFTER, 1))} || {B.ext('stem0', _AFTER, 3)}")} ELSE stem0 END AS stem FROM g)"
+    " SELECT doc_id, seg, q_index, nullif(section1, '') AS section, stem, n_options, CASE WHEN n_options > 0 THEN 'choice' WHEN contains(section1, '实验') THEN 'experiment' WHEN regexp_matches(section1, '计算|解答') THEN 'calculation' WHEN contains(section1, '填空') THEN 'fill_blank' ELSE 'unknown' END AS q_type FROM h"
 )
 
+_UNITS = f"(regexp_matches(rest, '^{rx.S}*(kg|m/|s/|J/s|J |N |W )') OR regexp_matches(rest, '^{rx.S}*[0-9]+[.]?[0-9]*{rx.S}*[A-Za-z]{rx.S}*/{rx.S}*[A-Za-z]'))"
+_NOISY = "(contains(x, 'ZZZZ') OR contains(x, '<<') OR contains(x, '>>') OR contains(translate(x, '}', '{'), '{{') OR regexp_matches(x, '[?][?](\\s|$)'))"
+_OPT = f"regexp_matches(x, '^[ABCD]([.．、]|{rx.S})')"
 _SEG_BLOCKS = (
-    f"WITH {B.BLOCKS}, tx AS (SELECT * FROM b WHERE block_type = 'text' AND content IS NOT NULL AND q_ord IS NOT NULL), fi AS (SELECT doc_id, q_ord, arg_min(block_id, (block_ord, block_id)) AS block_id FROM tx GROUP BY ALL),"
+    "WITH b AS (SELECT DISTINCT block_id, doc_id, block_ord, q_ord, block_type, content, page_idx, text_level, col_side, bbox FROM blocks), tx AS (SELECT * FROM b WHERE block_type = 'text' AND content IS NOT NULL AND q_ord IS NOT NULL), fi AS (SELECT doc_id, q_ord, arg_min(block_id, (block_ord, block_id)) AS block_id FROM tx GROUP BY ALL),"
     " la AS (SELECT fi.block_id, l.label FROM fi JOIN (SELECT doc_id, q_ord, min(label) AS label FROM questions GROUP BY ALL) l USING (doc_id, q_ord)),"
     f" c AS (SELECT b.* EXCLUDE (content), {B.clean_block("coalesce(CASE WHEN label IS NOT NULL THEN concat_ws(' ', label, content) ELSE content END, '')")} AS x FROM b LEFT JOIN la USING (block_id)),"
-    f" d AS (SELECT *, block_type = 'text' AND coalesce(text_level, 0) = 1 AS heading, {B.has('x', rx.OPTION_START)} AS opt, block_type = 'text' AND length(x) < 30 AND {B.has('x', S.NOISE)} AND NOT {B.has('x', rx.OPTION_START)} AS noise, {B.number('x', _OPENER, 1)} AS k, {B.sub('x', _OPENER, '', '')} AS rest FROM c),"
-    f" e AS (SELECT *, CASE WHEN block_type = 'text' AND NOT heading AND NOT noise AND NOT opt AND k BETWEEN 1 AND 50 AND NOT {B.has('rest', S.UNIT)} THEN k END AS num FROM d),"
+    f" d AS (SELECT *, CASE WHEN len(bbox) = 4 THEN greatest(bbox[2], bbox[4]) END AS bottom, block_type = 'text' AND coalesce(text_level, 0) = 1 AS heading, {_OPT} AS opt, block_type = 'text' AND length(x) < 30 AND {_NOISY} AND NOT {_OPT} AS noise, {B.number('x', _OPENER, 1)} AS k, {B.sub('x', _OPENER, '', '')} AS rest FROM c),"
+    f" e AS (SELECT *, CASE WHEN block_type = 'text' AND NOT heading AND NOT noise AND NOT opt AND k BETWEEN 1 AND 50 AND NOT {_UNITS} THEN k END AS num, block_type = 'text' AND NOT heading AND NOT noise AS plain FROM d),"
     " f AS (SELECT *, sum(CASE WHEN num IS NOT NULL THEN 1 ELSE 0 END) OVER w AS sg, last_value(CASE WHEN heading THEN x END IGNORE NULLS) OVER w AS section FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY block_ord, block_id ROWS UNBOUNDED PRECEDING)),"
-    " g AS (SELECT *, first_value(CASE WHEN block_type <> 'image' THEN sg END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_ord, block_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM f),"
-    f" s AS (SELECT doc_id, sg, bool_or({B.has('x', S.FIGURE)}) AS figure, max(num) AS n FROM f WHERE block_type = 'text' AND sg > 0 GROUP BY ALL),"
-    " h AS (SELECT g.*, CASE WHEN block_type = 'image' AND coalesce(ahead, g.sg) > g.sg AND NOT (g.sg > 0 AND coalesce(figure, false)) THEN ahead WHEN g.sg = 0 AND block_type = 'equation' THEN 1 ELSE g.sg END AS seg FROM g LEFT JOIN s ON g.doc_id = s.doc_id AND g.sg = s.sg)"
-    " SELECT block_id, seg::BIGINT AS seg, s.n AS q_index, section FROM h LEFT JOIN s ON h.doc_id = s.doc_id AND h.seg = s.sg WHERE seg > 0 AND NOT noise AND NOT heading"
+    f" s AS (SELECT doc_id, sg, max(num) AS n, bool_or(plain AND NOT opt AND (contains(x, '如图') OR contains(x, '图像') OR contains(x, '示意图'))) AS figure, bool_or(plain AND (opt OR {_COUNT('x')} >= 2)) AS has_options,"
+    " arg_max(struct_pack(v := CASE WHEN block_type = 'text' THEN bottom END), (block_ord, block_id)) FILTER (WHERE NOT heading AND NOT noise AND NOT (plain AND opt) AND block_type <> 'image') AS ends FROM f WHERE sg > 0 GROUP BY ALL),"
+    " l AS (SELECT doc_id, max((block_ord, block_id)) AS last, max(sg) AS asked FROM f WHERE block_type <> 'image' GROUP BY ALL),"
+    " h AS (SELECT f.*, CASE WHEN block_type = 'image' AND f.sg = 0 THEN CASE WHEN asked > 0 THEN 1 ELSE 0 END WHEN block_type = 'image' AND (block_ord, block_id) < last AND (coalesce(p.figure, false) OR (coalesce(p.has_options, false) AND coalesce(coalesce(bottom, 0) < p.ends.v + 50, false))) THEN f.sg - 1"
+    " WHEN f.sg = 0 AND block_type = 'equation' AND asked > 0 THEN 1 ELSE f.sg END AS seg FROM f LEFT JOIN s p ON f.doc_id = p.doc_id AND f.sg = p.sg + 1 LEFT JOIN l ON f.doc_id = l.doc_id),"
+    " z AS (SELECT h.*, s.n AS q_index FROM h LEFT JOIN s ON h.doc_id = s.doc_id AND h.seg = s.sg WHERE seg > 0 AND NOT noise AND NOT heading)"
+)
+_ZX = f"CASE WHEN num IS NOT NULL THEN {B.strip(B.sub('x', _OPENER, '', ''))} ELSE x END"
+_BLOCK_QUESTIONS = (
+    f"{_SEG_BLOCKS}, y AS (SELECT *, {_ZX} AS v, contains(coalesce(section, ''), '实验') AND opt AS lab FROM z),"
+    f" c2 AS (SELECT *, CASE WHEN block_type <> 'text' OR lab THEN 0 WHEN {_COUNT('v')} >= 2 THEN {B.count(B.sub('v', '\\$[^$]*\\$', ''), '[ABCD][.．、]')} WHEN regexp_matches(v, '^[ABCD]([.．、]|{rx.S})') THEN 1 ELSE 0 END AS n FROM y),"
+    " g AS (SELECT doc_id, seg::BIGINT AS seg, max(q_index) AS q_index, arg_min(coalesce(section, ''), (block_ord, block_id)) AS sec, sum(n)::BIGINT AS n_options, count(*) FILTER (WHERE block_type = 'image') AS n_images FROM c2 GROUP BY ALL)"
+    " SELECT doc_id, seg, q_index, nullif(sec, '') AS section, n_options, CASE WHEN n_options > 0 THEN 'choice' WHEN contains(sec, '实验') THEN 'experiment' WHEN regexp_matches(sec, '计算|解答') THEN 'calculation' WHEN contains(sec, '填空') THEN 'fill_blank' ELSE 'unknown' END AS q_type, n_images FROM g"
 )
-QUERIES = {f.__name__: f for f in (seg_lenient, seg_lenient_images, seg_markdown, seg_blocks, topic_bridge, ingest_summary, qnum_lines, qnum_stream)}
+QUERIES = {f.__name__: f for f in (seg_lenient, seg_lenient_images, seg_markdown, seg_blocks, seg_block_questions, topic_bridge, ingest_summary, qnum_lines, qnum_stream)}
 ORACLE = {
     "seg_lenient": f"{_LENIENT} SELECT *, {B.question_type('content_md', "'fill_blank'")} AS q_type FROM r",
     "seg_lenient_images": f"{_LENIENT}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source_page ORDER BY seg) AS k FROM r),"
     " i AS (SELECT doc_id, page_idx AS source_page, path, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY y0, path) AS k FROM (SELECT DISTINCT doc_id, page_idx, path, y0 FROM page_images WHERE path IS NOT NULL))"
     f" SELECT doc_id, seg, source_page, path AS figure_path, (length(content_md) + CASE WHEN path IS NULL THEN 0 ELSE length({B.ext('path', '([^/]*)$', 1)}) + 14 END)::BIGINT AS n_chars FROM k LEFT JOIN i USING (doc_id, source_page, k)",
     "seg_markdown": _MARKDOWN,
-    "seg_blocks": _SEG_BLOCKS,
+    "seg_blocks": f"{_SEG_BLOCKS} SELECT block_id, seg::BIGINT AS seg, q_index, section FROM z",
+    "seg_block_questions": _BLOCK_QUESTIONS,
     "topic_bridge": f"WITH {B.QUESTIONS} SELECT section_title AS title, count(*) OVER (PARTITION BY section_title) AS n_questions, question_id, q_index, 100 AS priority FROM qs WHERE section_title IS NOT NULL",
     "qnum_lines": f"WITH {B.LINES}, n AS (SELECT block_id, line_no, {_TOP} AS top, {B.digit_top('line')} AS digit, {B.sub_qnum('line')} AS sub, {_union_sql('line')} AS any_form, {_INSTR} AS instruction FROM lines) SELECT * FROM n WHERE top IS NOT NULL OR sub IS NOT NULL OR any_form IS NOT NULL OR instruction",
     "qnum_stream": f"WITH {B.LINES}, n AS (SELECT doc_id, {_TOP} AS qnum FROM lines WHERE NOT {_INSTR} AND {B.sub_qnum('line')} IS NULL) SELECT doc_id, count(*) AS n, sum(qnum) AS total, count(DISTINCT qnum) AS different FROM n WHERE qnum IS NOT NULL GROUP BY doc_id",
