@@ -1,18 +1,20 @@
 """Near-duplicate records: an exact set-similarity join.
 
 Every record is the set of its distinct character shingles, hashed to 50 bits. The shingles have one order, rarest first
-(``shingle_order``), and a record's *prefix* is its first n - ceil(threshold * n) + 1 shingles. Two sets that are similar
-enough share a shingle of their prefixes, and what they share is at most the number c shared by the prefixes plus the rest
-of the one whose prefix ends first. Both bounds hold for every pair, so none is missed at any size or similarity.
-
-Records are put into groups of near sizes, and each two groups whose sizes allow similar pairs are compared in one task,
-which counts c for all their pairs by the postings of one group (``count_pairs``). What passes must
-also pass, in the same task, a parity sketch of SKETCH_BITS bits, whose Hamming distance can't exceed the symmetric
-difference that the threshold allows. What is left is verified by exact similarity. Records with equal text are joined
-once, through a representative.
-
-The price: where all texts are made of the same phrases, the work grows with the square of the collection, and the shuffle
-with the number of groups (README has measured figures). Keys of several shingles each are cheaper, but have no guarantee.
+(``shingle_order``). If two sets are similar enough, the first shingle they share stands early in both: among the first
+n - ceil(2t / (1 + t) * n) + 1 of the smaller one (a quarter of it at a threshold t of 0.6) and the first m - ceil(t * m) + 1
+of the larger (``prefix_lengths``), and for two given sizes earlier still (``meet``). These bounds hold for every pair, so
+none is missed at any size or similarity.
+
+Records are put into groups of near sizes, and each two groups whose sizes allow similar pairs meet in one task. Pairs
+that meet must pass, in the same task, a parity sketch of SKETCH_BITS bits, whose Hamming distance can't exceed the
+symmetric difference that the threshold allows. What is left is verified by exact similarity. Records with equal text are
+joined once, through a representative.
+
+The named pigeonhole over sketch segments has no guarantee here: at a threshold of 0.6 it needs segments of two shingles, of
+which many are empty and say nothing; wider segments lost most pairs of short texts. The price of the guarantee: where
+all texts are made of the same phrases, the work grows with the square of the collection, and the shuffle with the number
+of groups (README has measured figures).
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +35,8 @@ from quire.session import materialise
 SKETCH_BITS = 1024
 #: rows handled at once; with 50 bits of hash they fit one word
 ROWS = 8192
+#: bytes of a shingle's hash that are sent; equal ones of different shingles only cost a comparison
+TOKEN_BYTES = 3
 #: first bits of a shingle's hash that make its class; the rarest classes come first in the order
 CLASS_BITS = 18
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -48,13 +52,9 @@ def mix(a: np.ndarray, seed: int = 0) -> np.ndarray:
         return a ^ (a >> np.uint64(31))
 
 
-def shingles(arr: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets): the distinct k-character shingles of every row as 50-bit hashes, sorted within the row. Rows shorter than k have none."""
-    cp, off = codepoints(arr)
-    n = len(cp) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    c = cp.astype(np.uint64)
+def windows(cp: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every window of k characters that lies within a row, in order of place; hashes of 50 bits."""
+    n, c = len(cp) - k + 1, cp.astype(np.uint64)
     with np.errstate(over="ignore"):
         h = np.zeros(n, np.uint64)
         for i in range(k):
@@ -62,18 +62,37 @@ def shingles(arr: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(h) >> np.uint64(14)
     own = owners(off)
     ok = own[:n] == own[k - 1 :]
-    h, own = h[ok], own[:n][ok].astype(np.uint64)
-    # row and hash in one word, so that a plain sort does
-    parts, sizes = [], []
-    for lo in range(0, len(off) - 1, ROWS):
+    return h[ok], own[:n][ok].astype(np.uint64)
+
+
+def distinct(v: np.ndarray, own: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets): the distinct values of every row, sorted; ``v`` has 50 bits and ``own`` the row of each, ascending."""
+    # row and value in one word, so that a plain sort does
+    parts, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo in range(0, rows, ROWS):
         a, b = np.searchsorted(own, [lo, lo + ROWS])
-        x = np.sort((own[a:b] - np.uint64(lo)) << np.uint64(50) | h[a:b])
+        x = np.sort((own[a:b] - np.uint64(lo)) << np.uint64(50) | v[a:b])
         x = x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
         parts.append(x & np.uint64((1 << 50) - 1))
-        sizes.append(np.bincount((x >> np.uint64(50)).astype(np.int64), minlength=min(ROWS, len(off) - 1 - lo)))
+        sizes.append(np.bincount((x >> np.uint64(50)).astype(np.int64), minlength=min(ROWS, rows - lo)))
     return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
+def shingles(arr: pa.Array, k: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): the distinct k-character shingles of every row as 50-bit hashes, sorted within the row. Rows shorter than k have none.
+
+    With ``rank`` (see shingle_order) the class in the hash is replaced by its rank, so that the rarest come first.
+    """
+    cp, off = codepoints(arr)
+    if len(cp) < k:
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    h, own = windows(cp, off, k)
+    if rank is not None:
+        low = np.uint64(50 - CLASS_BITS)
+        h = rank[(h >> low).astype(np.int64)] << low | h & ((np.uint64(1) << low) - np.uint64(1))
+    return distinct(h, own, len(off) - 1)
+
+
 def shingle_order(text: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rank, sizes, records): rank of each class of shingles (their first CLASS_BITS bits), rarest first, and how many records have each size.
 
@@ -119,58 +138,80 @@ def size_groups(sizes: np.ndarray, records: np.ndarray, threshold: float, most:
     return first, parts, [(g, j) for g in range(len(low)) for j in range(g, len(low)) if high[g] >= threshold * low[j] - 1e-6]
 
 
-def prefixes(h: np.ndarray, off: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, offsets, last): 32-bit hashes of each row's prefix, and the place of its last shingle in the order."""
-    n = np.diff(off)
-    low = np.uint64(50 - CLASS_BITS)
-    v = rank[(h >> low).astype(np.int64)] << low | h & ((np.uint64(1) << low) - np.uint64(1))
-    for lo in range(0, len(n), ROWS):
-        a, b = off[lo], off[min(lo + ROWS, len(n))]
-        own = np.repeat(np.arange(min(ROWS, len(n) - lo), dtype=np.uint64), n[lo : lo + ROWS])
-        v[a:b] = np.sort(own << np.uint64(50) | v[a:b]) & np.uint64((1 << 50) - 1)
-    size = np.where(n > 0, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
+def task_ids(spark: SparkSession, n: int) -> tuple[list[int], int]:
+    """(ids, partitions): n keys whose hashes fall into n different partitions, so that a task never waits for another one's."""
+    if n == 0:
+        return [], 1
+    slot = spark.range(n * 20 + 100).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id"))
+    ids = sorted(r.id for r in slot.collect())  # n rows
+    spare = (x for x in range(n * 20 + 100) if x not in set(ids))
+    return (ids + [next(spare) for _ in range(n - len(ids))])[:n], n
+
+
+def prefix_lengths(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(short, long): how many of its first shingles a set needs against sets no smaller, and against sets no larger than itself."""
+    short = n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(np.int64) + 1
+    return np.where(n > 0, short, 0), np.where(n > 0, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
+
+
+def cut(flat: np.ndarray, off: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``size`` elements of every row of a ragged array."""
     at = np.concatenate([[0], np.cumsum(size)])
-    idx = np.repeat(off[:-1] - at[:-1], size) + np.arange(at[-1])
-    last = np.zeros(len(n), np.int64)
-    last[n > 0] = v[(off[:-1] + size - 1)[n > 0]].astype(np.int64)
-    return mix(v[idx], 77_777).astype(np.uint32), at, last
+    return flat[np.repeat(off[:-1] - at[:-1], size) + np.arange(at[-1])], at
 
 
-def count_pairs(left: tuple, right: tuple | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): all pairs of rows of ``left`` and ``right`` (None: i < j of left) that may be similar, by what their prefixes share.
+def meet(left: tuple, right: tuple | None, threshold: float, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches (i, j) of distinct pairs of rows of ``left`` and ``right`` (None: i < j of left) that may be similar.
 
-    Each side is (n, last, tokens, offsets) with n ascending. Hashes that collide only add to the count, so no pair is lost.
+    Each side is (n, tokens, offsets) with n ascending; no row of ``left`` is larger than one of ``right``. If sets of n and
+    m shingles share at least a = threshold / (1 + threshold) * (n + m), the first one they share stands among the first
+    n - a + 1 and m - a + 1: a meeting beyond either place isn't followed. About ``most`` meetings are held at a time.
     """
-    n, last, tok, off = left
-    pn, plast, ptok, poff = right or left
-    own = owners(off)
-    o = np.argsort(tok, kind="stable")
-    tok, own = tok[o], own[o].astype(np.int64)
-    lo, hi = np.searchsorted(tok, ptok), np.searchsorted(tok, ptok, "right")
     share = threshold / (1 + threshold)
-    rest, prest = n - np.diff(off), pn - np.diff(poff)
-    begin, end = np.searchsorted(n, pn * threshold - 1e-6), np.searchsorted(n, pn / threshold + 1e-6, "right")
-    if right is None:
-        end = np.minimum(end, np.arange(len(pn)))
-    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for j in np.flatnonzero(begin < end).tolist():
-        b, e = begin[j], end[j]
-        a, z = lo[poff[j] : poff[j + 1]], hi[poff[j] : poff[j + 1]]
-        k = z - a
-        total = k.sum()
-        if not total:
-            continue
-        c = np.bincount(own[np.repeat(a - np.cumsum(k) + k, k) + np.arange(total)], minlength=e)[b:e]
-        # a number that no pair of these sizes needs less than, then what each needs
-        least = max(1.0, share * pn[j] + min(share * n[b] - prest[j], share * n[e - 1] - threshold * n[e - 1]) - 1e-6)
-        i = np.flatnonzero(c >= least)
-        if len(i):
-            at = i + b
-            need = share * (pn[j] + n[at]) - np.where(plast[j] <= last[at], prest[j], rest[at])
-            at = at[c[i] >= need - 1e-6]
-            out_i.append(at)
-            out_j.append(np.full(len(at), j))
-    return np.concatenate(out_i), np.concatenate(out_j)
+
+    def reach(n: np.ndarray, own: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The largest other set for which each place in a prefix is early enough."""
+        return np.floor((n[own] - (np.arange(len(own)) - off[own])) / share - n[own] + 1e-6).astype(np.int64)
+
+    n, tok, off = left
+    pn, ptok, poff = right or left
+    tok, off = cut(tok, off, np.minimum(np.diff(off), prefix_lengths(n, threshold)[0]))
+    own = owners(off)
+    # places of a token in the order of their reach, so that those too late for a probe aren't touched
+    code = tok.astype(np.uint64) << np.uint64(32) | np.minimum(reach(n, own, off), 2**32 - 1).astype(np.uint64)
+    o = np.argsort(code)
+    code, own = code[o], own[o]
+    for first in range(0, len(pn), ROWS):
+        m = pn[first : first + ROWS]
+        at = poff[first : first + ROWS + 1]
+        ptoken, at = ptok[at[0] : at[-1]], at - at[0]
+        j = owners(at)
+        end = np.searchsorted(n, reach(m, j, at), "right")
+        if right is None:
+            end = np.minimum(end, first + j)
+        o = np.argsort(ptoken)  # searching in order is many times faster
+        key = ptoken[o].astype(np.uint64) << np.uint64(32)
+        lo, count = np.zeros(len(o), np.int64), np.zeros(len(o), np.int64)
+        lo[o] = np.searchsorted(code, key | m[j[o]].astype(np.uint64))
+        count[o] = np.searchsorted(code, key | np.uint64(2**32 - 1), "right")
+        count -= lo
+        live = np.flatnonzero((count > 0) & (end > 0))
+        lo, count, j, end = lo[live], count[live], j[live], end[live]
+        row = np.searchsorted(j, np.arange(len(m) + 1))  # the places of each probing row
+        total = np.concatenate([[0], np.cumsum(count)])[row]  # meetings before each row
+        done = 0
+        while done < len(m):
+            # as many whole rows as make up about ``most`` meetings, one at least
+            stop = max(done + 1, int(np.searchsorted(total, total[done] + most, "right")) - 1)
+            a, z = row[done], row[stop]
+            k = count[a:z]
+            if k.sum():
+                i = own[np.repeat(lo[a:z] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+                ok = i < np.repeat(end[a:z], k)
+                pair = np.sort((np.repeat(j[a:z] << 32, k) | i)[ok])  # unique() hashes, which is slower
+                pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
+                yield pair & (2**32 - 1), first + (pair >> 32)
+            done = stop
 
 
 def jaccard_rows(a: pa.Array, b: pa.Array, k: int) -> np.ndarray:
@@ -206,17 +247,57 @@ def parity_bits(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def near(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the pairs (i, j) the parity sketches x, y of sets of m, n shingles don't rule out."""
+def sketch_words(largest: int, threshold: float) -> int:
+    """Words of 64 bits with which sketches of sets up to this size tell most unlike sets apart: 4, 8 or 16."""
+    bits = 2.3 * (1 - threshold) / (1 + threshold) * 2 * largest
+    return next((w for w in (4, 8) if bits <= 64 * w), SKETCH_BITS // 64)
+
+
+def ragged(rows: tuple[np.ndarray, np.ndarray], width: int) -> pa.Array:
+    """A binary column of ragged rows, whose elements have ``width`` bytes."""
+    flat, off = rows
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * width).astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parity sketches of fewer bits: the halves of one XORed are a sketch as well."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return np.ascontiguousarray(bits)
+
+
+def hamming(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of each row, by adding up the words' counts in lanes (at most 16 words)."""
+    c = np.bitwise_count(x ^ y)
+    lanes = c.view(np.uint32 if c.shape[1] == 4 else np.uint64)
+    s = lanes[:, 0].astype(np.uint64)
+    for k in range(1, lanes.shape[1]):
+        s = s + lanes[:, k]
+    pairs = (s & np.uint64(0x00FF00FF00FF00FF)) + (s >> np.uint64(8) & np.uint64(0x00FF00FF00FF00FF))
+    return ((pairs * np.uint64(0x0001000100010001)) >> np.uint64(48)).astype(np.int64)
+
+
+def near(x: dict[int, np.ndarray], y: dict[int, np.ndarray], m: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (i, j) the parity sketches don't rule out; x, y have those of sets of m, n shingles, by their words.
+
+    Where the sets are small a folded sketch rules most of them out, and the whole one is asked only of the rest.
+    """
+    apart = (1 - threshold) / (1 + threshold)
     ok = np.zeros(len(i), bool)
-    for lo in range(0, len(i), 100_000):
-        a, b = i[lo : lo + 100_000], j[lo : lo + 100_000]
-        apart = np.bitwise_count(x[a] ^ y[b]).sum(axis=1, dtype=np.int64)
-        ok[lo : lo + 100_000] = (apart <= (1 - threshold) / (1 + threshold) * (m[a] + n[b]) + 1e-9) & (np.minimum(m[a], n[b]) >= threshold * np.maximum(m[a], n[b]) - 1e-9)
+    for lo in range(0, len(i), 16384):
+        a, b = i[lo : lo + 16384], j[lo : lo + 16384]
+        both = m[a] + n[b]
+        most = apart * both + 1e-9
+        left = np.arange(len(a))
+        for words in sorted(x):
+            if words * 64 >= 2.3 * most.max() or words == max(x):
+                left = left[hamming(x[words][a[left]], y[words][b[left]]) <= most[left]]
+        ok[lo + left] = True
     return ok
 
 
-def similar_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.6, group: int = 40_000) -> tuple[DataFrame, DataFrame]:
+def similar_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.6, group: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(pairs, copies): pairs (a, b, similarity), a < b, of representatives, and copies (id, rep) of equal texts.
 
     A representative is the smallest id of the records with equal text; records without a copy aren't in ``copies``.
@@ -233,40 +314,63 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 5, thresho
 
     rank, sizes, records = shingle_order(rep_text, k)
     first, parts, tasks = size_groups(sizes, records, threshold, group)
+    # (task, role) of every group: against itself, as the smaller and as the larger side
+    roles: dict[int, list[tuple[int, int]]] = {}
+    for task, (g, j) in enumerate(tasks):
+        roles.setdefault(g, []).append((task, 0 if g == j else 1))
+        if g != j:
+            roles.setdefault(j, []).append((task, 2))
+    ids, slots = task_ids(text.sparkSession, len(tasks))
+    largest = np.zeros(1 + max((j for _, j in tasks), default=0), np.int64)
+    np.maximum.at(largest, np.concatenate([first, first + parts - 1]).astype(np.int64), np.concatenate([sizes, sizes]))
+    words = [sketch_words(int(largest[j]), threshold) for _, j in tasks]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, off = shingles(b.column(1), k)
-            tok, at, last = prefixes(h, off, rank, threshold)
-            r = np.flatnonzero(np.diff(off))
-            n = np.diff(off)[r]
-            which = np.searchsorted(sizes, n)
-            g = first[which] + (mix(last[r].view(np.uint64), 55) % parts[which].astype(np.uint64)).astype(np.int64)
-            flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 4), pa.py_buffer(tok)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(g), b.column(0).take(pa.array(r)), pa.array(n), pa.array(last[r]), flat.take(pa.array(r)), pa.array([x.tobytes() for x in parity_bits(h, off)[r]], pa.binary())], names=["g", "id", "n", "last", "tok", "bits"])
+            v, off = shingles(b.column(1), k, rank)
+            tok = mix(v, 77_777)
+            n = np.diff(off)
+            bits = parity_bits(v, off)
+            rows = np.flatnonzero(n)
+            which = np.searchsorted(sizes, n[rows])
+            g = first[which] + (mix(v[off[:-1][rows]], 55) % parts[which].astype(np.uint64)).astype(np.int64)
+            short, long = prefix_lengths(n, threshold)
+            for x in np.unique(g).tolist():
+                r = rows[g == x]
+                begin = np.concatenate([off[:-1][r], [0]])
+                for task, role in roles.get(x, ()):
+                    size = (short if role == 1 else long)[r]
+                    flat, at = cut(tok, begin, size)
+                    mine = ragged((np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]), at), TOKEN_BYTES)
+                    w = words[task]
+                    sk = ragged((folded(bits[r].view(np.uint64), w), np.arange(len(r) + 1)), 8 * w)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), ids[task], np.int64)), pa.array(np.full(len(r), role, np.int32)), b.column(0).take(pa.array(r)), pa.array(n[r]), mine, sk], names=["task", "role", "id", "n", "tok", "bits"])
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        g, task = t["g"].to_numpy(), t["task"][0].as_py()
+        role = t["role"].to_numpy()
         sides = []
-        for x in dict.fromkeys(tasks[task]):
-            at = np.flatnonzero(g == x)
+        for x in (0,) if (role == 0).any() else (1, 2):
+            at = np.flatnonzero(role == x)
             s = t.take(pa.array(at[np.argsort(t["n"].to_numpy()[at], kind="stable")]))
             raw, off = byte_view(s["tok"].combine_chunks().cast(pa.large_binary()))
-            bits = np.frombuffer(byte_view(s["bits"].combine_chunks().cast(pa.large_binary()))[0], np.uint64).reshape(-1, SKETCH_BITS // 64)
-            sides.append((s["id"], bits, (s["n"].to_numpy(), s["last"].to_numpy(), np.frombuffer(raw, np.uint32), np.asarray(off) // 4)))
-        i, j = count_pairs(sides[0][2], sides[1][2] if len(sides) > 1 else None, threshold)
-        ok = near(sides[0][1], sides[-1][1], sides[0][2][0], sides[-1][2][0], i, j, threshold)
-        i, j = i[ok], j[ok]
+            bits = np.frombuffer(byte_view(s["bits"].combine_chunks().cast(pa.large_binary()))[0], np.uint64).reshape(len(s), -1)
+            tok = np.zeros((len(raw) // TOKEN_BYTES, 4), np.uint8)
+            tok[:, :TOKEN_BYTES] = raw.reshape(-1, TOKEN_BYTES)
+            sides.append((s["id"], {w: folded(bits, w) for w in (4, 8, 16) if w <= bits.shape[1]}, (s["n"].to_numpy(), tok.view(np.uint32).ravel(), np.asarray(off) // TOKEN_BYTES)))
+        out = []
+        for i, j in meet(sides[0][2], sides[1][2] if len(sides) > 1 else None, threshold):
+            ok = near(sides[0][1], sides[-1][1], sides[0][2][0], sides[-1][2][0], i, j, threshold)
+            out.append((i[ok], j[ok]))
+        i, j = (np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in (0, 1))
         a, b = sides[0][0].take(pa.array(i)), sides[-1][0].take(pa.array(j))
         less = pc.less(a, b)
         return pa.table({"a": pc.if_else(less, a, b), "b": pc.if_else(less, b, a)})
 
     pair = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    signed = rep_text.mapInArrow(sign, T.StructType([T.StructField("g", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("last", T.LongType()), T.StructField("tok", T.BinaryType()), T.StructField("bits", T.BinaryType())]))
-    part = text.sparkSession.createDataFrame([(x, i) for i, p in enumerate(tasks) for x in dict.fromkeys(p)], "g long, task long")
+    signed = rep_text.mapInArrow(sign, T.StructType([T.StructField("task", T.LongType()), T.StructField("role", T.IntegerType()), T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("tok", T.BinaryType()), T.StructField("bits", T.BinaryType())]))
     # a repeated id may have two texts that are alike
-    cand = materialise(signed.join(F.broadcast(part), "g").groupBy("task").applyInArrow(compare, pair).filter("a < b").distinct())
+    cand = materialise(signed.repartition(slots, "task").groupBy("task").applyInArrow(compare, pair).filter("a < b").distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
