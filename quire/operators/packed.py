@@ -8,9 +8,10 @@ flattened with their parent's ordinal. There is no Python loop over rows.
 How an element is cut (first rule that gives two or more non-empty pieces):
 
 * *labels*: the element starts with an option label (``A.`` ``A．`` ``A、`` ``A)``
-  ``A:`` ``(A)`` ``（A）``); it is cut before every later label of the same style
-  that continues the alphabet and follows white space or a delimiter, whatever
-  mixture of delimiters stands between.
+  ``A:`` ``(A)`` ``（A）``, A to H); it is cut before every later label of the same style
+  that continues the alphabet, up to Z, and follows white space or a delimiter, whatever
+  mixture of delimiters stands between. So is an element that starts with ``a`` or ``1``
+  in such a style (numbers: not with a colon, nor before a digit) if the next label follows.
 * *quotes*: values in ``"``, ``'`` or ``“ ”``; delimiters inside quotes never
   cut; ``[...]`` around quoted values (a JSON list) is peeled off.
 * *strong delimiters*: ``||``, tab, line end, ``#``, ``‖``, ``｜``, ``¦``, ``|``, runs of two or more
@@ -142,48 +143,59 @@ def _labels(f: _Flat) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64), np.zeros(f.n, bool)
     if not len(f.cp):
         return none
-    letter = (f.cp >= ord("A")) & (f.cp <= ord("H"))
+    upper, lower = (f.cp >= ord("A")) & (f.cp <= ord("Z")), (f.cp >= ord("a")) & (f.cp <= ord("z"))
+    digit = (f.cp >= ord("0")) & (f.cp <= ord("9"))
     after = f.next()
-    end = letter & np.isin(after, LABEL_END)
-    wrapped = end & np.isin(f.prev(), OPEN) & np.isin(after, CLOSE)
-    style = np.where(wrapped, 1, np.where(after == ord("．"), ord("."), np.where(after == ord("）"), ord(")"), np.where(after == ord("："), ord(":"), after))))
-    begin = f.at - wrapped
+    # a number is told by its last digit; its value and first place come from the run of digits
+    run = digit & ~((f.prev() >= ord("0")) & (f.prev() <= ord("9")))
+    start = np.maximum.accumulate(np.where(run | ~digit, f.at, 0))
+    near = f.at - start
+    value = np.where(near == 0, 0, np.where(near == 1, f.prev().astype(np.int64) - 48, f.prev(2).astype(np.int64) * 10 + f.prev() - 528)) * 10 + f.cp.astype(np.int64) - 48
+    after2 = f.next(2)
+    number = digit & (near <= 2) & (after != ord(":")) & (after != ord("：")) & ~((after2 >= ord("0")) & (after2 <= ord("9")))
+    first_at = np.where(digit, start, f.at)
+    lead = np.where(first_at > f.off[f.own], f.cp[np.maximum(first_at - 1, 0)], 0)
+    end = (upper | lower | number) & np.isin(after, LABEL_END)
+    wrapped = end & np.isin(lead, OPEN) & np.isin(after, CLOSE)
+    style = np.where(wrapped, 1, np.where(after == ord("．"), ord("."), np.where(after == ord("）"), ord(")"), np.where(after == ord("："), ord(":"), after)))).astype(np.int64)
+    style = style * 3 + np.where(lower, 1, np.where(digit, 2, 0))
+    begin = first_at - wrapped
     before = np.where(begin > f.off[f.own], f.cp[np.maximum(begin - 1, 0)], 0)
     free = (before == 0) | np.isin(before, SPACE) | np.isin(before, DELIM) | np.isin(before, _o("。.") )
-    cand = np.flatnonzero(end & free & (wrapped | ~np.isin(f.prev(), OPEN)))
+    cand = np.flatnonzero(end & free & (wrapped | ~np.isin(lead, OPEN)))
     if not len(cand):
         return none
-    own, pos, let, sty = f.own[cand], begin[cand], f.cp[cand].astype(np.int64) - ord("A"), style[cand].astype(np.int64)
-    first = f.left[pos] < 0
+    let = np.where(digit, value, np.where(lower, f.cp.astype(np.int64) - ord("a"), f.cp.astype(np.int64) - ord("A")))[cand]
+    own, pos, sty = f.own[cand], begin[cand], style[cand]
+    kind = sty % 3
+    first = (f.left[pos] < 0) & np.where(kind == 0, let <= 7, np.where(kind == 1, let == 0, let == 1))
     # two labels can't both be first; keep the first one of an element
     head = np.full(f.n, -1)
     head[own[first][::-1]] = np.flatnonzero(first)[::-1]
     has = head >= 0
+    # element, style and letter in one word, so that labels of other styles are never looked at
+    chain = lambda e, s, v: (e.astype(np.int64) * 3 * (1 << 21) + s) * 1024 + v
+    known, place = np.unique(chain(own, sty, let), return_inverse=True)
     big = np.int64(len(f.cp) + 1)
-    key = (own.astype(np.int64) * 32 + let) * big + pos
+    spots = np.sort(place * big + pos)
     cuts = []
     el = np.flatnonzero(has)
     cur, let0, sty0 = pos[head[el]], let[head[el]], sty[head[el]]
-    order = np.argsort(key, kind="stable")
-    skey = key[order]
-    for step in range(1, 8):
-        if not len(el):
-            break
-        lo = np.searchsorted(skey, (el.astype(np.int64) * 32 + let0 + step) * big + cur, "right")
-        ok = np.zeros(len(el), bool)
-        nxt = np.zeros(len(el), np.int64)
-        look = lo.copy()
-        open_ = np.ones(len(el), bool)
-        while open_.any():  # skip candidates of another style; few rounds
-            inb = open_ & (look < len(order))
-            j = order[np.minimum(look, len(order) - 1)]
-            same = inb & (own[j] == el) & (let[j] == let0 + step)
-            hit = same & (sty[j] == sty0)
-            nxt[hit], ok[hit] = pos[j[hit]], True
-            open_ = same & ~hit
-            look += 1
-        cuts.append(nxt[ok])
-        el, cur, let0, sty0 = el[ok], nxt[ok], let0[ok], sty0[ok]
+    tried = 0
+    while len(el):
+        tried += 1
+        want = chain(el, sty0, let0 + 1)
+        rank = np.searchsorted(known, want)
+        there = rank < len(known)
+        there[there] = known[rank[there]] == want[there]
+        at = np.searchsorted(spots, rank * big + cur, "right")  # the first one beyond the current label
+        ok = there & (at < len(spots))
+        ok[ok] = spots[at[ok]] // big == rank[ok]
+        if tried == 1:  # lower case and numbers only count if the next one follows
+            has[el[~ok & (sty0 % 3 > 0)]] = False
+        nxt = spots[at[ok]] % big
+        cuts.append(nxt)
+        el, cur, let0, sty0 = el[ok], nxt, let0[ok] + 1, sty0[ok]
     return (np.concatenate(cuts) if cuts else np.zeros(0, np.int64)), has
 
 

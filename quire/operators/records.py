@@ -43,6 +43,26 @@ def insert_new(bank: DataFrame, drafts: DataFrame, text: str) -> tuple[DataFrame
     return new, total.withColumn("skipped", F.col("drafts") - F.col("inserted"))
 
 
+def insert_similar(bank: DataFrame, drafts: DataFrame, text: str, id_col: str, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(id, is_new, similarity, reason, match_id): what becomes of every draft that is offered to the bank.
+
+    ``exact``: the same text (see content_key) is in the bank or in a draft of a smaller id; ``near_dup``: word shingles
+    overlap by ``threshold`` or more with such a row; else ``new``. ``similarity`` is 1 for exact copies, the largest
+    overlap for near ones and 0 for new drafts; ``match_id`` is the row it was found with. The bank's ids need not differ
+    from the drafts'. Null text counts as empty.
+    """
+    side = lambda df, k: df.select(F.struct(F.lit(k).alias("side"), F.col(id_col).alias("id")).alias("__id"), F.col(text).alias("__text"))
+    every = side(bank, 0).unionByName(side(drafts, 1)).withColumn("__key", content_key(F.col("__text")))
+    first = every.groupBy("__key").agg(F.min("__id").alias("__first"))
+    mine = every.filter("__id.side = 1").join(first, "__key").select("__id", F.when(F.col("__first") != F.col("__id"), F.col("__first")).alias("same"))
+    member = jaccard_members(every, "__text", "__id", words).filter("id.side = 1 AND id != kept_id").select(F.col("id").alias("__id"), F.lit(1.0).alias("similarity"), F.col("kept_id").alias("other"))
+    pairs = dedup_jaccard(every, "__text", "__id", words, threshold).filter("id_b.side = 1").select(F.col("id_b").alias("__id"), "similarity", F.col("id_a").alias("other"))
+    near = member.unionByName(pairs).groupBy("__id").agg(F.max("similarity").alias("similarity"), F.min_by("other", F.struct(-F.col("similarity"), F.col("other"))).alias("other"))
+    r = mine.join(near, "__id", "left")
+    reason = F.when(F.col("same").isNotNull(), "exact").when(F.col("other").isNotNull(), "near_dup").otherwise("new")
+    return r.select(F.col("__id.id").alias("id"), (reason == "new").alias("is_new"), F.when(F.col("same").isNotNull(), 1.0).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("similarity"), reason.alias("reason"), F.coalesce("same.id", "other.id").alias("match_id"))
+
+
 TOKEN = re.compile("[a-zà-ÿ0-9]+|[一-鿿]")
 
 
@@ -136,10 +156,13 @@ def fetch_paper(bank: DataFrame, paper: str, since: Column, name: str = "source_
     return (own if young.isEmpty() else young).orderBy(at, order)
 
 
-def preflight(files: DataFrame, max_bytes: int = 100 << 20) -> DataFrame:
-    """files (path, length, ...) with ``error``: the first failed check, or null. Nothing is read but metadata."""
+def preflight(files: DataFrame, max_bytes: int = 100 << 20, writable: bool = True, free_bytes: int | None = None, min_free: int = 200 << 20) -> DataFrame:
+    """files (path, length, ...) with ``error``: the first failed check, or null. Nothing is read but metadata.
+
+    ``writable`` and ``free_bytes`` tell of the output folder (see sources.files.output_state); unknown space is enough.
+    """
     bad = F.when(F.col("path").isNull(), "FILE_NOT_FOUND").when(~F.lower("path").endswith(".pdf"), "NOT_A_PDF").when(F.col("length") > max_bytes, "FILE_TOO_LARGE").when(F.coalesce(F.col("encrypted"), F.lit(False)), "PDF_ENCRYPTED")
-    return files.withColumn("error", bad)
+    return files.withColumn("error", bad.when(F.lit(not writable), "OUTPUT_NOT_WRITABLE").when(F.lit(free_bytes is not None and free_bytes < min_free), "DISK_FULL"))
 
 
 def latest_per_key(df: DataFrame, keys: list[str], ts: str) -> DataFrame:

@@ -276,20 +276,32 @@ def attach_topics(questions: DataFrame, topic: str, role: str = "main", priority
     return topics, bridge
 
 
-def ingest(pages: DataFrame, bank: DataFrame) -> tuple[DataFrame, DataFrame]:
+def ingest(pages: DataFrame, bank: DataFrame, similar: bool = False, words: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(new questions, summary) of page texts (doc_id, page_idx, text) against a bank with ``content_md``.
 
-    The lenient segmentation, normalisation and exact deduplication in one plan; documents without a question count as failed.
+    The lenient segmentation, normalisation and deduplication in one plan; the latter is exact, and with ``similar`` drafts
+    near to the bank or to an earlier draft are left out as well (see records.insert_similar) and counted in ``near_dup``.
+    Documents without a question count as failed, those with questions but also pages without text as partial.
     """
-    from quire.operators.records import insert_new
+    from quire.operators.records import insert_new, insert_similar
 
     lines = pages.select("doc_id", F.col("page_idx").alias("block_ord"), F.col("page_idx").cast("long").alias("block_id"), "page_idx", F.lit(0).alias("text_level"), F.posexplode(C.lines_of(F.col("text"))).alias("line_no", "line"))
     drafts = normalise(segment_lenient(lines))
     new, total = insert_new(bank, drafts, "content_md")
-    files = drafts.select("doc_id", F.lit(1).alias("done")).unionByName(pages.select("doc_id", F.lit(0).alias("done"))).groupBy("doc_id").agg(F.max("done").alias("done"))
-    count = files.agg(F.coalesce(F.sum("done"), F.lit(0)).alias("files_completed"), F.count("*").alias("files_total"))
-    names = ["drafts", "inserted", "skipped"]
-    zero = lambda cols: [F.lit(0).cast("bigint").alias(c) for c in cols]
-    one = total.select(*names, *zero(count.columns)).unionByName(count.select(*zero(names), *count.columns))
-    one = one.agg(*[F.sum(c).alias(c) for c in one.columns])
-    return new, one.withColumn("files_failed", F.col("files_total") - F.col("files_completed"))
+    near = pages.sparkSession.createDataFrame([], "near_dup bigint")
+    if similar:
+        new = materialise(new.withColumn("draft_id", F.struct("doc_id", "seg")))
+        old = bank.select(F.struct(F.lit(None).cast("string").alias("doc_id"), F.xxhash64("content_md").alias("seg")).alias("draft_id"), "content_md")
+        fate = materialise(insert_similar(old, new.select(F.struct("doc_id", F.col("seg").cast("bigint").alias("seg")).alias("draft_id"), "content_md"), "content_md", "draft_id", words, threshold).filter("reason = 'near_dup'").select(F.col("id.doc_id").alias("doc_id"), F.col("id.seg").alias("seg")))
+        new, near = new.drop("draft_id").join(fate, ["doc_id", "seg"], "left_anti"), fate.agg(F.count("*").alias("near_dup"))
+    files = drafts.select("doc_id", F.lit(1).alias("done"), F.lit(0).alias("gap")).unionByName(pages.select("doc_id", F.lit(0).alias("done"), F.when(F.coalesce(X.strip(F.col("text")), F.lit("")) == "", 1).otherwise(0).alias("gap"))).groupBy("doc_id").agg(F.max("done").alias("done"), F.max("gap").alias("gap"))
+    count = files.agg(F.coalesce(F.sum("done"), F.lit(0)).alias("files_completed"), F.count_if((F.col("done") == 1) & (F.col("gap") == 1)).alias("files_partial"), F.count("*").alias("files_total"))
+    parts, names = (total, near, count), []
+    for p in parts:
+        names += p.columns
+    one = None
+    for p in parts:
+        row = p.select(*[(F.col(c) if c in p.columns else F.lit(0)).cast("bigint").alias(c) for c in names])
+        one = row if one is None else one.unionByName(row)
+    one = one.agg(*[F.sum(c).alias(c) for c in names]).withColumns({"inserted": F.col("inserted") - F.col("near_dup"), "files_failed": F.col("files_total") - F.col("files_completed")})
+    return new, one

@@ -42,7 +42,8 @@ def images_by_range(blocks: DataFrame) -> DataFrame:
 
     An as-of join by one sort: questions and images of a column in one order, the last question so far carried on.
     """
-    p = with_positions(blocks).withColumn("side", F.when(F.col("col_side").isin(0, 1), F.col("col_side")).otherwise(-1))
+    side = F.col("col_side") if "col_side" in blocks.columns else F.lit(-1)
+    p = with_positions(blocks).withColumn("side", F.when(side.isin(0, 1), side).otherwise(-1))
     q = p.filter("q_ord IS NOT NULL AND block_type != 'image'").groupBy("doc_id", "page_idx", "side", F.col("q_ord").alias("q")).agg(F.min("y").alias("y"))
     page = q.groupBy("doc_id", "page_idx", "q").agg(F.min("y").alias("y")).withColumn("side", F.lit(-1))
     q = q.filter("side >= 0").unionByName(page)
@@ -125,3 +126,35 @@ def infer_sides(questions: DataFrame) -> DataFrame:
     """(doc_id, q_ord, side): 0 up to the document's middle number, 1 beyond; the middle is the largest number up to 10, else 10."""
     m = questions.groupBy("doc_id").agg(F.when(F.max("q_index") <= 10, F.max("q_index")).otherwise(10).alias("mid"))
     return questions.join(m, "doc_id").select("doc_id", "q_ord", (F.col("q_index") > F.col("mid")).cast("int").alias("side"))
+
+
+def embedded_images(images: DataFrame) -> DataFrame:
+    """(doc_id, page_idx, col_side, img_path, bbox, block_type): the embedded images of all pages as raw image blocks.
+
+    On a two-column scan taken apart the page's parity is its column. Images without a corner have no box; repeated rows
+    and those without a path are left out.
+    """
+    corners = F.array("x0", "y0", "x1", "y1")
+    box = F.when(F.forall(corners, lambda c: c.isNotNull()), corners)
+    return images.filter("path IS NOT NULL").select("doc_id", "page_idx", F.pmod("page_idx", F.lit(2)).alias("col_side"), F.col("path").alias("img_path"), box.alias("bbox"), F.lit("image").alias("block_type")).distinct()
+
+
+def figure_pages(images: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_idx): pages with an image block or an orphan image, each once."""
+    shown = blocks.filter("block_type = 'image'").select("doc_id", "page_idx")
+    return shown.unionByName(orphan_images(images, blocks).select("doc_id", "page_idx")).distinct()
+
+
+def page_map(images: DataFrame) -> DataFrame:
+    """(doc_id, pages): page -> its image paths in order of height, as a map per document.
+
+    A map of a document of any size is one value; where documents have no bound, join on (doc_id, page_idx) instead.
+    """
+    page = images.filter("path IS NOT NULL").select("doc_id", "page_idx", "path", "y0").distinct().groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(F.struct("y0", "path"))).alias("on"))
+    page = page.select("doc_id", F.struct("page_idx", F.transform("on", lambda x: x["path"]).alias("paths")).alias("entry"))
+    return page.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list("entry"))).alias("pages"))
+
+
+def paths_on(pages: str, page: str):  # noqa: ANN201
+    """The paths of a page out of a page map; no page, no paths."""
+    return F.coalesce(F.element_at(F.col(pages), F.col(page)), F.array().cast("array<string>"))

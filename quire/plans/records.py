@@ -41,6 +41,21 @@ def bank_insert(s: SparkSession, d: str) -> DataFrame:
     return R.insert_new(b.join(scan, "doc_id", "left_anti"), b.join(scan, "doc_id", "left_semi"), "content")[1]
 
 
+def bank_similar(s: SparkSession, d: str) -> DataFrame:
+    """What becomes of every question offered to a bank of the loose items."""
+    q = question_md(s, d).select("question_id", "doc_id", "content_md")
+    loose = F.coalesce(F.col("doc_id") == "bank-omnibus-0001", F.lit(False))
+    r = R.insert_similar(q.filter(loose), q.filter(~loose), "content_md", "question_id")
+    return r.select(F.col("id").alias("question_id"), "is_new", F.round("similarity", 9).alias("similarity"), "reason")
+
+
+def assemble_sections(s: SparkSession, d: str) -> DataFrame:
+    """Parts in which questions are shown: a third of the exams has buckets K1 to K5, a third some of them, a third none."""
+    q = S.distinct_questions(t(s, d, "questions")).withColumn("kind", F.length("doc_id") % 3)
+    bucket = F.when(F.col("kind") == 0, F.concat(F.lit("K"), (F.col("q_ord") % 5 + 1).cast("string"))).when((F.col("kind") == 1) & (F.col("q_ord") % 4 > 0), F.concat(F.lit("K"), (F.col("q_ord") % 4).cast("string")))
+    return render.assemble(q.withColumn("bucket", bucket)).select("question_id", "section")
+
+
 def latest_exam(s: SparkSession, d: str) -> DataFrame:
     """The last delivered row of every exam."""
     return R.latest_per_key(t(s, d, "exams").select("doc_id", "title", "source", "created_at"), ["doc_id"], "created_at")
@@ -106,6 +121,16 @@ def qnum_font(s: SparkSession, d: str) -> DataFrame:
     return fonts.font_qnums(_font_lines(s, d))
 
 
+def page_text_dict(s: SparkSession, d: str) -> DataFrame:
+    """Lines of every page out of its nested text, which is made of the page's blocks: a span for each half of a line."""
+    n = _font_lines(s, d).withColumn("half", (F.length("line") / 2).cast("int"))
+    span = lambda size, text: F.struct(size.alias("size"), text.alias("text"))
+    line = F.struct(F.array(F.lit(0.0), F.col("line_no").cast("double"), F.lit(9.0), F.lit(9.0)).alias("bbox"), F.array(span(F.col("size"), F.expr("left(line, half)")), span(F.lit(8.0), F.expr("substring(line, half + 1)"))).alias("spans"))
+    b = n.groupBy("doc_id", "page_idx", "block_ord", "block_id").agg(F.struct(F.lit(0).alias("type"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", line.alias("l")))), lambda x: x["l"]).alias("lines")).alias("b"))
+    page = b.groupBy("doc_id", "page_idx").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("block_ord", "block_id", "b"))), lambda x: x["b"]).alias("blocks"))).alias("text_dict"))
+    return fonts.text_dict_lines(page).select("doc_id", "page_idx", "block_ord", "line_no", "line", "size", "y")
+
+
 def choices(s: SparkSession, d: str) -> DataFrame:
     return question_md(s, d).select("question_id", F.explode(parse_choices(F.col("content_md"))).alias("o")).groupBy("question_id").agg(F.count("*").alias("n_items"), F.count("o.letter").alias("n_options"), F.count_if("o.bare").alias("n_bare"))
 
@@ -134,10 +159,10 @@ _FONT = (
     " ok AS (SELECT *, ltrim(aft) AS near FROM a WHERE (NOT regexp_matches(aft, '^[0-9]') OR regexp_matches(aft, '^(?:19|20)[0-9]{2}')) AND NOT coalesce(length(prev) >= 3 AND regexp_matches(prev, '[=+×÷∗／−]$'), false) AND size BETWEEN 10 AND 12"
     f" AND NOT (page_idx = 0 AND {B.has('t', fonts.INSTRUCTION)})),"
     " y AS (SELECT *, try_cast(regexp_extract(t, '^\\s*([0-9]{1,2})', 1) AS INTEGER) AS qnum FROM ok WHERE CASE WHEN regexp_matches(near, '^[0-9]') THEN regexp_matches(near, '^[0-9. ]+[^\\x00-\\x7f]') AND regexp_matches(left(near, 6), '[一-鿿℃℉]') WHEN regexp_matches(aft, '[一-鿿]') THEN true WHEN trim(aft) = '' THEN bh OR nh ELSE true END)"
-    " SELECT doc_id, page_idx, arg_min(block_id, (block_ord, block_id, line_no)) AS block_id, arg_min(line_no, (block_ord, block_id, line_no)) AS line_no, qnum FROM y GROUP BY doc_id, page_idx, qnum"
+    " SELECT doc_id, page_idx, arg_min(block_id, (block_ord, block_id, line_no)) AS block_id, arg_min(line_no, (block_ord, block_id, line_no)) AS line_no, qnum, arg_min(left(t, 60), (block_ord, block_id, line_no)) AS shown FROM y GROUP BY doc_id, page_idx, qnum"
 )
 _W = f"regexp_extract_all(lower(content_md), '[a-zà-ÿ0-9]+|{rx.HAN}')"
-QUERIES = {f.__name__: f for f in (dedup_exact, dedup_jaccard, dedup_jaccard_members, bank_insert, latest_exam, fetch_paper, recent_files, live_jobs, throttle, semver, preflight, content_list, event_props, render_cards, exam_totals, qnum_font, choices, figure_flow)}
+QUERIES = {f.__name__: f for f in (dedup_exact, dedup_jaccard, dedup_jaccard_members, bank_insert, bank_similar, assemble_sections, latest_exam, fetch_paper, recent_files, live_jobs, throttle, semver, preflight, content_list, event_props, render_cards, exam_totals, qnum_font, page_text_dict, choices, figure_flow)}
 _KEY = lambda c: f"sha256({B.sub(f'''lower(coalesce({c}, ''))''', f'{rx.S}+', '')})"
 _CARD = (
     "'<section class=\"q\" id=\"q' || seq || '\"><span class=\"badge\">' || CASE question_type WHEN 'choice' THEN CASE WHEN is_multi_select IS NULL THEN '选择' WHEN is_multi_select THEN '多选' ELSE '单选' END WHEN 'fill_blank' THEN '填空' WHEN 'calculation' THEN '计算' WHEN 'experiment' THEN '实验' ELSE '其他' END"
@@ -152,6 +177,11 @@ ORACLE = {
     "dedup_jaccard_members": f"{_MD}, w AS (SELECT question_id AS id, {_W} AS w FROM md), s AS (SELECT id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) ELSE [id::VARCHAR] END AS s FROM w)"
     " SELECT id, min(id) OVER (PARTITION BY s) AS kept_id, count(*) OVER (PARTITION BY s) AS n_equal FROM s",
     "bank_insert": f"WITH b AS (SELECT DISTINCT block_id, doc_id, {_KEY('content')} AS k FROM blocks), s AS (SELECT DISTINCT doc_id FROM exams WHERE source IN ('flatbed_scan', 'phone_scan')), d AS (SELECT * FROM b WHERE doc_id IN (SELECT doc_id FROM s)), o AS (SELECT k FROM b WHERE doc_id NOT IN (SELECT doc_id FROM s)), n AS (SELECT count(*) AS drafts, count(DISTINCT k) FILTER (WHERE k NOT IN (SELECT k FROM o)) AS inserted FROM d) SELECT *, drafts - inserted AS skipped FROM n",
+    "bank_similar": f"{_MD}, x AS (SELECT question_id AS id, CASE WHEN coalesce(doc_id = 'bank-omnibus-0001', false) THEN 0 ELSE 1 END AS side, {_KEY('content_md')} AS k, {_W} AS w FROM md), y AS (SELECT side, id, k, (side, id) AS me, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) ELSE [] END AS sh FROM x),"
+    " f AS (SELECT *, min(me) OVER (PARTITION BY k) AS first, CASE WHEN len(sh) > 0 THEN min(me) OVER (PARTITION BY sh) ELSE me END AS rep FROM y), e AS (SELECT me, len(sh) AS n, unnest(sh) AS h FROM f WHERE rep = me AND len(sh) > 0),"
+    " c AS (SELECT b.me AS me, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS sim FROM e a JOIN e b ON a.h = b.h AND a.me < b.me GROUP BY a.me, b.me), m AS (SELECT me, max(sim) AS sim FROM c WHERE sim >= 0.8 - 1e-9 GROUP BY me)"
+    " SELECT id AS question_id, first = f.me AND rep = f.me AND sim IS NULL AS is_new, round(CASE WHEN first <> f.me OR rep <> f.me THEN 1.0 ELSE coalesce(sim, 0.0) END, 9) AS similarity, CASE WHEN first <> f.me THEN 'exact' WHEN rep <> f.me OR sim IS NOT NULL THEN 'near_dup' ELSE 'new' END AS reason FROM f LEFT JOIN m ON f.me = m.me WHERE side = 1",
+    "assemble_sections": f"{_EX}, b AS (SELECT *, CASE length(doc_id) % 3 WHEN 0 THEN 'K' || (q_ord % 5 + 1) WHEN 1 THEN CASE WHEN q_ord % 4 > 0 THEN 'K' || (q_ord % 4) END END AS bucket FROM q), s AS (SELECT doc_id, count(DISTINCT bucket) = 5 AND count(bucket) = count(*) OR count(bucket) = 0 AS flat FROM b GROUP BY doc_id) SELECT question_id, CASE WHEN flat THEN '_all' ELSE coalesce(bucket, '_rest') END AS section FROM b JOIN s USING (doc_id)",
     "latest_exam": "SELECT doc_id, title, source, created_at FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY created_at DESC, title DESC NULLS LAST, source DESC NULLS LAST) AS r FROM exams) WHERE r = 1",
     "fetch_paper": "SELECT question_id, doc_id AS source_paper, lpad(q_index::VARCHAR, 2, '0') AS source_qnum, ingested_at AS created_at FROM questions WHERE doc_id = 'bank-omnibus-0001'",
     "recent_files": f"SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOURS",
@@ -164,6 +194,7 @@ ORACLE = {
     "render_cards": f"{_MD}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(q_index, 0), q_ord) AS seq, replace({B.sub(B.sub(_LATEX, '[ \\t]+(\\n)', '\\1'), '[ \\t]{2,}', '\x01')}, '\x01', ' ') AS body FROM md) SELECT doc_id, seq, md5({_CARD}) AS html_md5 FROM n",
     "exam_totals": f"{_EX} SELECT doc_id, count(*) AS n, min(q_index) AS first, max(q_index) AS last, bool_and(source_page = 0) AS flat, count(*) FILTER (WHERE question_type = 'choice') AS choices FROM q GROUP BY doc_id",
     "qnum_font": _FONT,
+    "page_text_dict": f"WITH {B.LINES}, o AS (SELECT doc_id, page_idx, block_ord AS bo, block_id, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY block_ord, block_id) - 1 AS block_ord FROM (SELECT DISTINCT doc_id, page_idx, block_ord, block_id FROM lines)) SELECT l.doc_id, l.page_idx, o.block_ord::INTEGER AS block_ord, line_no, line, 9 + (l.block_id % 5)::DOUBLE AS size, line_no::DOUBLE AS y FROM lines l JOIN o ON o.doc_id = l.doc_id AND o.page_idx = l.page_idx AND o.bo = l.block_ord AND o.block_id = l.block_id",
     "figure_flow": "WITH b AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM blocks WHERE q_ord IS NOT NULL), r AS (SELECT doc_id, q_ord, sum(CASE WHEN block_type = 'text' THEN len(regexp_extract_all(replace(replace(replace(coalesce(content, ''), '　', ''), ' ', ''), chr(10), ''), '图[(（]?[a-zA-Z0-9一二三四五甲乙丙丁]')) ELSE 0 END) AS refs, count(*) FILTER (WHERE block_type = 'image' AND img_path IS NOT NULL) AS n FROM b GROUP BY ALL),"
     " p AS (SELECT *, sum(n - CASE WHEN refs > 0 THEN refs ELSE 99 END) OVER w AS p FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY q_ord)) SELECT doc_id, q_ord, n AS n_images, (p - least(0, min(p) OVER (PARTITION BY doc_id ORDER BY q_ord)))::BIGINT AS handed_on FROM p",
 }

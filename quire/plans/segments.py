@@ -9,6 +9,7 @@ from quire.functions import classify as C
 from quire.functions import rx
 from quire.operators import segment as S
 from quire.plans import sqlbits as B
+from quire.plans import texts as X
 from quire.session import table as t
 
 
@@ -138,6 +139,16 @@ _BLOCK_QUESTIONS = (
     " g AS (SELECT doc_id, seg::BIGINT AS seg, max(q_index) AS q_index, arg_min(coalesce(section, ''), (block_ord, block_id)) AS sec, sum(n)::BIGINT AS n_options, count(*) FILTER (WHERE block_type = 'image') AS n_images FROM c2 GROUP BY ALL)"
     " SELECT doc_id, seg, q_index, nullif(sec, '') AS section, n_options, CASE WHEN n_options > 0 THEN 'choice' WHEN contains(sec, '实验') THEN 'experiment' WHEN regexp_matches(sec, '计算|解答') THEN 'calculation' WHEN contains(sec, '填空') THEN 'fill_blank' ELSE 'unknown' END AS q_type, n_images FROM g"
 )
+_PAGES = (
+    f"WITH RECURSIVE {B.LINES}, pl AS (SELECT doc_id, page_idx AS block_ord, page_idx::BIGINT AS block_id, page_idx, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY block_ord, block_id, line_no)::INTEGER AS line_no, line FROM lines)"
+    + _LENIENT.removeprefix(f"WITH {B.LINES}").replace("FROM lines)", "FROM pl)")
+)
+_INGEST = (
+    f"{_PAGES}, src AS (SELECT doc_id, seg, {X._tail_trim('content_md')} AS text FROM r), {X.reattached('src', 'doc_id, seg')}, dr AS (SELECT doc_id, {X.normalised('out')} AS content_md FROM re),"
+    f" ks AS (SELECT count(*) AS drafts, count(DISTINCT {B.sub("lower(coalesce(content_md, ''))", f'{rx.S}+', '')}) AS inserted FROM dr), pg AS (SELECT doc_id, page_idx, bool_and({B.strip('line')} = '') AS gap FROM lines GROUP BY ALL),"
+    " fs AS (SELECT doc_id, bool_or(gap) AS gap, doc_id IN (SELECT doc_id FROM dr) AS done FROM pg GROUP BY doc_id)"
+    " SELECT drafts, inserted, drafts - inserted AS skipped, 0::BIGINT AS near_dup, (SELECT count(*) FROM fs WHERE done) AS files_completed, (SELECT count(*) FROM fs WHERE done AND gap) AS files_partial, (SELECT count(*) FROM fs) AS files_total, (SELECT count(*) FROM fs WHERE NOT done) AS files_failed FROM ks"
+)
 QUERIES = {f.__name__: f for f in (seg_lenient, seg_lenient_images, seg_markdown, seg_blocks, seg_block_questions, topic_bridge, ingest_summary, qnum_lines, qnum_stream)}
 ORACLE = {
     "seg_lenient": f"{_LENIENT} SELECT *, {B.question_type('content_md', "'fill_blank'")} AS q_type FROM r",
@@ -147,6 +158,7 @@ ORACLE = {
     "seg_markdown": _MARKDOWN,
     "seg_blocks": f"{_SEG_BLOCKS} SELECT block_id, seg::BIGINT AS seg, q_index, section FROM z",
     "seg_block_questions": _BLOCK_QUESTIONS,
+    "ingest_summary": _INGEST,
     "topic_bridge": f"WITH {B.QUESTIONS} SELECT section_title AS title, count(*) OVER (PARTITION BY section_title) AS n_questions, question_id, q_index, 100 AS priority FROM qs WHERE section_title IS NOT NULL",
     "qnum_lines": f"WITH {B.LINES}, n AS (SELECT block_id, line_no, {_TOP} AS top, {B.digit_top('line')} AS digit, {B.sub_qnum('line')} AS sub, {_union_sql('line')} AS any_form, {_INSTR} AS instruction FROM lines) SELECT * FROM n WHERE top IS NOT NULL OR sub IS NOT NULL OR any_form IS NOT NULL OR instruction",
     "qnum_stream": f"WITH {B.LINES}, n AS (SELECT doc_id, {_TOP} AS qnum FROM lines WHERE NOT {_INSTR} AND {B.sub_qnum('line')} IS NULL) SELECT doc_id, count(*) AS n, sum(qnum) AS total, count(DISTINCT qnum) AS different FROM n WHERE qnum IS NOT NULL GROUP BY doc_id",

@@ -149,6 +149,35 @@ _INLINE_LINE = (
     f" || coalesce(list_aggregate(list_transform(list_filter(({_P})[2:], lambda o: {B.strip('substr(o, 3)')} <> ''), lambda o: substr(o, 1, 2) || ' ' || {B.strip('substr(o, 3)')}), 'string_agg', chr(10)), '') ELSE x END"
 )
 
+def _tail_trim(x: str) -> str:
+    return f"CASE WHEN contains({x}, '求') AND {B.has(x, _TAILP)} AND NOT {B.has(B.ext(x, _TAILP, 2), rx.SUBQ)} AND length({B.strip(B.ext(x, _TAILP, 2))}) < 6 THEN {B.rstrip(B.ext(x, _TAILP, 1))} ELSE {x} END"
+
+
+def reattached(source: str, cols: str = "id") -> str:
+    """CTEs that end in ``re`` (cols, out): the option prose of ``source`` (cols, text) joined to its options, a line at a time."""
+    head, prose = B.has("line", rx.OPTION_LINE), f"(NOT {B.has('line', rx.OPTION_LINE)} AND {_PROSE})"
+    letter = f"greatest(coalesce(list_position(['A', 'B', 'C', 'D', 'E', 'F'], upper(left({B.strip('line')}, 1))), 0) - 1, 0)"
+    upper = "(len(wait) > 0 AND pos >= 0 AND pos = len(done) - 1)"
+    joined = f"list_append(list_slice(done, 1, pos), {B.strip(f"{B.rstrip('done[pos + 1]')} || list_aggregate(wait, 'string_agg', '')")})"
+    first = f"CASE WHEN len(wait) > 0 THEN {B.strip(f"{B.rstrip('line')} || wait[1]")} ELSE line END"
+    dealt = f"list_concat(list_append(done, {first}), list_transform(range(2, len(wait) + 1), lambda j: ['A', 'B', 'C', 'D', 'E', 'F'][least({letter} + j - 1, 5) + 1] || '. ' || {B.strip('wait[j]')}))"
+    return (
+        f"steps AS (SELECT {cols}, string_split(text, chr(10)) AS ls, 0 AS i, []::VARCHAR[] AS done, []::VARCHAR[] AS wait, -1 AS pos FROM {source}"
+        f" UNION ALL SELECT {cols}, ls, i + 1, CASE WHEN {head} THEN CASE WHEN {upper} THEN list_append({joined}, line) ELSE {dealt} END WHEN {prose} THEN done ELSE list_append(done, line) END,"
+        f" CASE WHEN {head} THEN []::VARCHAR[] WHEN {prose} THEN list_append(wait, {B.strip('line')}) ELSE wait END, CASE WHEN {head} THEN len(done) WHEN {prose} THEN pos ELSE -1 END"
+        f" FROM (SELECT *, ls[i + 1] AS line FROM steps WHERE i < len(ls))),"
+        f" re AS (SELECT {cols}, list_aggregate(list_concat(done, wait), 'string_agg', chr(10)) AS out FROM steps WHERE i = len(ls))"
+    )
+
+
+def normalised(x: str) -> str:
+    """What follows the reattaching: one option a line, no runs of zeros."""
+    lines = f"list_aggregate(list_transform(string_split({x}, chr(10)), lambda x: {_INLINE_LINE}), 'string_agg', chr(10))"
+    return B.strip(B.sub(B.sub(lines, f"{rx.S}0{{8,}}{rx.S}*[A-Z]?{rx.D}*{rx.S}*", " "), " {2,}", " "))
+
+
+_MARKED_OPTIONS = f"regexp_replace(translate(replace({B.sub('content_md', f'([$][^$]*[$])|([ABCD](?:[.．、]|{rx.S}))', '\x01\\1\x02\\2')}, '\x01\x02', '\x04'), '\x01\x02', ''), '\x04([ABCD][.．、])', '\x05\\1', 'g')"
+_OPTION_PARTS = f"string_split(replace({_MARKED_OPTIONS}, '\x04', ''), '\x05')"
 ocr_punct, clean_block, ocr_noise, strip_tags, escape_html = _each(X.ocr_punct), _each(X.clean_block), _each(X.ocr_noise), _each(X.strip_tags), _each(X.escape_html)
 ws_collapse, latex_wrap, strip_sections = _each(X.collapse_blanks), _each(X.wrap_latex), _each(X.strip_sections)
 NAMED = {"ocr_punct": ocr_punct, "clean_block": clean_block, "ocr_noise": ocr_noise, "strip_tags": strip_tags, "escape_html": escape_html, "ws_collapse": ws_collapse, "latex_wrap": latex_wrap, "strip_sections": strip_sections}
@@ -164,8 +193,11 @@ ORACLE = {
     "strip_sections": _sql(f"coalesce(list_aggregate(list_filter(string_split(content, chr(10)), lambda x: NOT {B.has('x', rx.SECTION_LINE)}), 'string_agg', chr(10)), '')"),
     "type_ladder": f"{_MD} SELECT question_id, {B.question_type('content_md', 'question_type')} AS q_type, {B.experiment('content_md')} AS experiment, {B.has('content_md', rx.any_of(rx.CALC_HINTS))} AS calc_hint, coalesce({B.real_options('''list_transform(options, lambda z: coalesce(z, ''))''')}, false) AS real_options FROM md",
     "opt_count": f"{_MD} SELECT question_id, {B.count(B.sub('content_md', '\\$[^$]*\\$', '\n'), '[ABCD]\\.')} AS n_labels, len(list_filter(string_split(content_md, chr(10)), lambda x: {_inline('x')})) AS n_inline_lines FROM md",
+    "opt_split": f"{_MD}, o AS (SELECT question_id, {_OPTION_PARTS} AS p FROM md) SELECT question_id, {B.rstrip('p[1]')} AS stem, (len(p) - 1)::INTEGER AS n_options, coalesce(list_aggregate(list_transform(list_slice(p, 2, len(p)), lambda x: {B.strip('x')}), 'string_agg', '\x01'), '') AS options FROM o",
+    "prose_reattach": f"{_MD.replace('WITH ', 'WITH RECURSIVE ', 1)}, src AS (SELECT question_id AS id, content_md AS text FROM md), {reattached('src')} SELECT id AS question_id, out FROM re",
+    "normalise": f"{_MD.replace('WITH ', 'WITH RECURSIVE ', 1)}, src AS (SELECT question_id AS id, question_type, {_tail_trim('content_md')} AS text FROM md), {reattached('src', 'id, question_type')}, no AS (SELECT id, question_type, {normalised('out')} AS content_md FROM re) SELECT id AS question_id, content_md, {B.question_type('content_md', 'question_type')} AS q_type FROM no",
     "opt_inline": f"{_MD} SELECT question_id, list_aggregate(list_transform(string_split(content_md, chr(10)), lambda x: {_INLINE_LINE}), 'string_agg', chr(10)) AS out FROM md",
-    "tail_trim": f"{_MD} SELECT question_id, CASE WHEN contains(content_md, '求') AND {B.has('content_md', _TAILP)} AND NOT {B.has(B.ext('content_md', _TAILP, 2), rx.SUBQ)} AND length({B.strip(B.ext('content_md', _TAILP, 2))}) < 6 THEN {B.rstrip(B.ext('content_md', _TAILP, 1))} ELSE content_md END AS out FROM md",
+    "tail_trim": f"{_MD} SELECT question_id, {_tail_trim('content_md')} AS out FROM md",
     "option_prose": f"WITH {B.LINES} SELECT block_id, line_no FROM lines WHERE {_PROSE}",
     "answer_mode": f"{_MD} SELECT question_id, CASE WHEN {B.has(B.sub('content_md', '<[^>]+>', ''), f'回答{rx.S}*下列{rx.S}*(?:问题|各题)')} OR {_SUBN} >= 2 THEN 'free_response' ELSE 'choice' END AS mode FROM md",
     "text_marks": f"{_B}, m AS (SELECT block_id, {_COMPLEX} AS complex_equation, {B.has('content', '^[\\s\\-—]*(?:[0-9]+\\s*(?:[/／]|of)\\s*[0-9]+|第\\s*[0-9]+\\s*页|Page\\s*[0-9]+|[0-9]+)[\\s\\-—]*$')} AS page_number, {_INSTR} AS instruction, {B.has('content', rx.SECTION_LINE)} AS section_line FROM b) SELECT * FROM m WHERE complex_equation OR page_number OR instruction OR section_line",

@@ -12,12 +12,18 @@ _written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where it is unset, as in tests."""
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Where it is unset a local session, as in tests, gets a folder of its own; on a cluster that is an error, as executors
+    would each write to their own disks.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         sc = spark.sparkContext
         folder = sc._jsc.sc().getCheckpointDir()
         at = folder.get() if folder.isDefined() else None
+        if not at and not spark.conf.get("spark.master", sc.master).split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", at)

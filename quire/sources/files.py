@@ -56,34 +56,63 @@ def library_available(name: str) -> bool:
     return importlib.util.find_spec(name) is not None
 
 
-def read_pages(files: DataFrame, extract: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """(path, page_idx, text) of binary files by an extractor of page texts; files it fails on give no rows.
+class Extractor:
+    """Where page texts come from; subclass it for another library. ``is_available`` is asked once, before any file is read."""
 
-    The default extractor uses a PDF library if one is installed and gives nothing otherwise.
-    """
+    def is_available(self) -> bool:
+        return library_available("pypdf")
 
-    def default(data: bytes) -> list[str]:
-        if not library_available("pypdf"):
-            return []
+    def pages(self, data: bytes) -> list[str]:
         import io
 
         import pypdf
 
         return [p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(data)).pages]
 
-    fn = extract or default
+
+def read_pages(files: DataFrame, extract: Callable[[bytes], list[str]] | Extractor | None = None) -> DataFrame:
+    """(path, page_idx, text, error) of binary files by an extractor of page texts.
+
+    A file that the extractor fails on gives one row with the error and null page and text, so that it can be set aside
+    (see quarantine); a file without pages gives none. An extractor whose library is missing gives no rows.
+    """
+    how = extract if callable(extract) else (extract or Extractor())
+    fn = how if callable(how) else how.pages if how.is_available() else lambda _: []
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in pdfs:
-            rows = []
+            rows: list[tuple] = []
             for path, data in zip(p.path, p.content):
                 try:
-                    rows += [(path, i, t) for i, t in enumerate(fn(bytes(data)))]
-                except Exception:  # noqa: BLE001, S112
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "page_idx", "text"])
+                    rows += [(path, i, t, None) for i, t in enumerate(fn(bytes(data)))]
+                except Exception as e:  # noqa: BLE001
+                    rows.append((path, None, None, f"{type(e).__name__}: {e}"[:500]))
+            out = pd.DataFrame(rows, columns=["path", "page_idx", "text", "error"])
+            yield out.astype({"page_idx": "Int32"})
+
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("page_idx", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+    return files.select("path", "content").mapInPandas(run, schema)
 
-    return files.select("path", "content").mapInPandas(run, T.StructType([T.StructField("path", T.StringType()), T.StructField("page_idx", T.IntegerType()), T.StructField("text", T.StringType())]))
+
+def quarantine(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(readable pages, failed files with their error)."""
+    return pages.filter("error IS NULL").drop("error"), pages.filter("error IS NOT NULL").select("path", "error").distinct()
+
+
+def output_state(spark: SparkSession, path: str) -> tuple[bool, int | None]:
+    """(writable, free bytes) of an output folder or the nearest folder above it that exists; free space is None where the file system doesn't tell."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while p.getParent() is not None and not fs.exists(p):
+        p = p.getParent()
+    try:
+        fs.access(p, jvm.org.apache.hadoop.fs.permission.FsAction.WRITE)
+        writable = True
+    except Exception:  # noqa: BLE001
+        writable = False
+    left = fs.getStatus(p).getRemaining()
+    return writable, left if 0 < left < 2**62 else None
 
 
 def load_options(path: str | Path) -> dict:
