@@ -31,7 +31,8 @@ def top_orders(s: SparkSession, d: str) -> DataFrame:
 
 
 def idle_customers(s: SparkSession, d: str) -> DataFrame:
-    return t(s, d, "customer").join(t(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_acctbal")
+    """Customers without a large order."""
+    return t(s, d, "customer").join(t(s, d, "orders").filter("o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_acctbal")
 
 
 def part_sets(s: SparkSession, d: str) -> DataFrame:
@@ -61,23 +62,34 @@ def stream_dedup(s: SparkSession, d: str) -> DataFrame:
     return streams.collect_stream(s, streams.dedup_stream(e, ["event_id"], "ts", "400 days").select("event_id", "user_id"))
 
 
+def stream_jobs(s: SparkSession, d: str) -> DataFrame:
+    """Last state of every user's activity: rows, time of the last one, and whether it was dropped after a day without any.
+
+    Updates of a state come one after another, so the row with most events is its last one; the files are one batch.
+    """
+    e = streams.table_stream(s, f"{d}/events.parquet")
+    r = streams.collect_stream(s, streams.job_states(e.select("ts", "user_id"), "ts", "user_id", ttl="1 day"))
+    return r.groupBy("user_id").agg(F.max("n").alias("n"), F.max("last").cast("timestamp_ntz").alias("last"), F.bool_or(F.col("state") == "expired").alias("expired"))
+
+
 def stream_windows(s: SparkSession, d: str) -> DataFrame:
     e = streams.table_stream(s, f"{d}/events.parquet")
     r = streams.collect_stream(s, streams.count_windows(e, "ts", "event_type"), "complete")
     return r.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (pricing_summary, nation_revenue, top_orders, idle_customers, part_sets, status_pivot, event_sessions, event_running, stream_dedup, stream_windows)}
+QUERIES = {f.__name__: f for f in (pricing_summary, nation_revenue, top_orders, idle_customers, part_sets, status_pivot, event_sessions, event_running, stream_dedup, stream_jobs, stream_windows)}
 _REV = "round(sum(rev), 2) AS revenue, count(*) AS suppliers"
 ORACLE = {
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
     "nation_revenue": f"WITH r AS (SELECT l_suppkey, sum(l_extendedprice * (1 - l_discount)) AS rev FROM lineitem GROUP BY ALL) SELECT r_name, n_name, {_REV} FROM r JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
     "top_orders": "SELECT c_mktsegment, o_orderkey, o_totalprice, rank FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS rank FROM orders JOIN customer ON o_custkey = c_custkey) WHERE rank <= 3",
-    "idle_customers": "SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "idle_customers": "SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)",
     "part_sets": "SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O' EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity < 5",
     "status_pivot": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY ALL",
     "event_sessions": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 2) AS total FROM n GROUP BY user_id, k",
     "event_running": "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS running, lag(event_type) OVER w AS previous, CAST(ntile(4) OVER w AS INTEGER) AS quarter FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "stream_dedup": "SELECT DISTINCT event_id, user_id FROM events",
+    "stream_jobs": "SELECT user_id, count(*) AS n, date_trunc('microsecond', max(ts)) AS last, max(ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) AS expired FROM events WHERE user_id IS NOT NULL GROUP BY user_id",
     "stream_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

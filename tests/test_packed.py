@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.operators.packed import split_batch, split_packed
+from quire.operators.packed import cut_elements, split_batch, split_packed
 
 
 def split(*rows, only_packed=False):
@@ -65,3 +66,15 @@ def test_spark(spark):
     df = spark.createDataFrame([(1, ["a|b|c"], "x"), (1, ["a|b|c"], "y"), (2, None, "z")], "id long, o array<string>, value string")
     assert split_packed(df, ["id"], "o").count() == 6
     assert split_packed(df.limit(0), ["id"], "o").count() == 0
+
+
+def test_labels_of_every_kind():
+    cut = lambda x: cut_elements(pa.array([x]), np.array([True]))[1].to_pylist()
+    many = [f"{chr(65 + i)}. v{i}" for i in range(26)]
+    assert cut(" ".join(many)) == many and cut("; ".join(many[:10])) == many[:10]
+    assert cut("a) one b) two") == ["a) one", "b) two"] and cut("a. only") == ["a. only"]
+    numbers = [f"{i}. v" for i in range(1, 121)]
+    assert cut(" ".join(numbers)) == numbers and cut("(1) x (2) y") == ["(1) x", "(2) y"]
+    for whole in ("1.5 m/s", "10:30 11:30", "9. x 10. y", "2. x 3. y"):
+        assert cut(whole) == [whole]
+    assert cut("A. x B. y " * 3000)[0] == "A. x"

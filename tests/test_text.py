@@ -119,8 +119,10 @@ def test_equation_and_mode(spark):
 
 
 def test_quota_and_paths(spark):
-    df = spark.createDataFrame([(["如图", "无", "如图甲"], [["a", "b"], [], ["c", "d", "e"]])], "t array<string>, i array<array<string>>")
+    df = spark.createDataFrame([(["如图 1", "无", "如图（甲）"], [["a", "b"], [], ["c", "d", "e"]])], "t array<string>, i array<array<string>>")
     assert df.select(figure_quota(F.col("t"), F.col("i")).alias("k")).first().k == [["a"], ["b"], ["c"]]
+    df = spark.createDataFrame([(["如图", None], [["a", "b"], None])], "t array<string>, i array<array<string>>")
+    assert df.select(figure_quota(F.col("t"), F.col("i")).alias("k")).first().k == [["a", "b"], []]  # no label, no limit
     df = spark.createDataFrame([([" a", None, "b", "a", " "],), (None,)], "p array<string>")
     assert [r.x for r in df.select(distinct_paths(F.col("p")).alias("x")).collect()] == [["a", "b"], []]
 
