@@ -220,3 +220,17 @@ def same_look_pairs(df: DataFrame, id_col: str, column: str) -> DataFrame:
     b = member.select("c1", "c2", F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.col("id").alias("b"))
     both = pair.join(a, ["c1", "c2", "t1", "t2"]).join(b, ["c1", "c2", "u1", "u2"]).filter("a != b")
     return both.select(F.least("a", "b").alias(f"{id_col}_a"), F.greatest("a", "b").alias(f"{id_col}_b")).distinct()
+
+
+def same_look_classes(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """(``id_col``, class_id, n_rows, n_forms): every row whose ``column`` looks like a differently stored one, by class.
+
+    ``class_id`` is the smallest id of the class, ``n_rows`` its rows and ``n_forms`` its stored forms. A row a member,
+    where same_look_pairs has a row a pair, so a class that holds a third of all rows grows in proportion. Null and empty
+    texts belong to no class; a repeated id counts once a stored form.
+    """
+    rows = canonical_text(df.filter(F.length(column) > 0).select(F.col(id_col).alias("id"), F.col(column).alias("t")), "t", "c")
+    rows = materialise(rows.select("id", F.xxhash64("c").alias("c1"), F.xxhash64("c", F.lit(1)).alias("c2"), F.xxhash64("t").alias("t1"), F.xxhash64("t", F.lit(1)).alias("t2")).distinct())
+    form = rows.groupBy("c1", "c2", "t1", "t2").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    kind = form.groupBy("c1", "c2").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_rows"), F.count("*").alias("n_forms")).filter("n_forms > 1")
+    return rows.join(kind, ["c1", "c2"]).select(F.col("id").alias(id_col), "class_id", "n_rows", "n_forms").distinct()

@@ -93,28 +93,36 @@ def headers_of(raw: str) -> tuple[dict[str, str], str]:
     return h, body
 
 
-def _walk(h: dict[str, str], body: str, out: list[Part], depth: int) -> None:
-    ctype = h.get("content-type", "text/plain")
-    kind = ctype.split(";")[0].strip().lower()
-    disposition = h.get("content-disposition", "").lower()
-    attached = disposition.startswith("attachment") or "name=" in ctype.lower() and not disposition.startswith("inline")
-    if kind.startswith("multipart/") and depth < 8:
-        m = _BOUNDARY.search(ctype)
-        mark = m and (m[1] or m[2])
-        if mark:
-            chunks = re.split(rf"(?:^|\n)--{re.escape(mark)}(--)?[ \t]*(?=\n|$)", body)
-            # preamble, then (closing or None, chunk) ...
-            for closing, chunk in zip(chunks[1::2], chunks[2::2]):
-                if closing:
-                    break
-                _walk(*headers_of_part(chunk), out, depth + 1)
-            if len(chunks) > 1:
-                return
-    text = _decode(body, h.get("content-transfer-encoding", ""), (m := _CHARSET.search(ctype)) and m[1] or "utf-8")
-    if kind == "message/rfc822" and depth < 8:
-        _walk(*headers_of(text.replace("\r\n", "\n").lstrip("\n")), out, depth + 1)
-        return
-    out.append(Part(kind, attached, text.replace("\r\n", "\n")))
+def _walk(h: dict[str, str], body: str) -> list[Part]:
+    """All leaf parts in order, however deep they are nested."""
+    out: list[Part] = []
+    waiting = [(h, body)]
+    while waiting:
+        h, body = waiting.pop()
+        ctype = h.get("content-type", "text/plain")
+        kind = ctype.split(";")[0].strip().lower()
+        disposition = h.get("content-disposition", "").lower()
+        attached = disposition.startswith("attachment") or "name=" in ctype.lower() and not disposition.startswith("inline")
+        if kind.startswith("multipart/"):
+            m = _BOUNDARY.search(ctype)
+            mark = m and (m[1] or m[2])
+            if mark:
+                chunks = re.split(rf"(?:^|\n)--{re.escape(mark)}(--)?[ \t]*(?=\n|$)", body)
+                if len(chunks) > 1:
+                    # preamble, then (closing or None, chunk) ...
+                    inner = []
+                    for closing, chunk in zip(chunks[1::2], chunks[2::2]):
+                        if closing:
+                            break
+                        inner.append(headers_of_part(chunk))
+                    waiting += reversed(inner)
+                    continue
+        text = _decode(body, h.get("content-transfer-encoding", ""), (m := _CHARSET.search(ctype)) and m[1] or "utf-8")
+        if kind == "message/rfc822":
+            waiting.append(headers_of(text.replace("\r\n", "\n").lstrip("\n")))
+        else:
+            out.append(Part(kind, attached, text.replace("\r\n", "\n")))
+    return out
 
 
 def headers_of_part(chunk: str) -> tuple[dict[str, str], str]:
@@ -134,20 +142,22 @@ def parse(raw: str | None) -> tuple[dict[str, str], list[Part]]:
     if "\r" in raw:
         raw = raw.replace("\r\n", "\n").replace("\r", "\n")
     h, body = headers_of(raw)
-    out: list[Part] = []
-    _walk(h, body, out, 0)
-    return h, out
+    return h, _walk(h, body)
+
+
+#: a document that begins as HTML, whatever it is said to be
+_HTML = re.compile(r"(?:\s|<!--.*?-->|<\?[^>]*>|<!doctype\b[^>]*>)*<html\b", re.I | re.S)
 
 
 def all_text(raw: str | None) -> str:
-    """Everything a message says: subject and all decoded parts, mark-up removed, quote marks left in."""
+    """Everything a message says: subject and all decoded parts, mark-up removed, quote marks left in.
+
+    Parts of every type count whole; what isn't text decodes to characters that match nothing.
+    """
     h, parts = parse(raw)
     said = [decode_words(h.get("subject", ""))]
     for p in parts:
-        if p.ctype == "text/html" or (p.ctype.startswith("text/") and "<html" in p.text[:200].lower()):
-            said.append(html_text(p.text))
-        elif p.ctype.startswith(("text/", "message/")) or (p.text.isprintable() or "�" not in p.text[:200] and sum(c < " " and c not in "\n\t" for c in p.text[:200]) == 0):
-            said.append(p.text)
+        said.append(html_text(p.text) if p.ctype == "text/html" or _HTML.match(p.text) else p.text)
     return "\n\n".join(said)
 
 

@@ -405,3 +405,16 @@ def similar_questions(questions: DataFrame, blocks: DataFrame, **kw) -> DataFram
     wide = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a2", "a").alias("x"), F.coalesce("b2", "b").alias("y"))
     same = copies.select("rep", F.col("id").alias("x")).join(copies.select("rep", F.col("id").alias("y")), "rep").filter("x < y").select("x", "y")
     return wide.unionByName(same).filter("x != y").select(F.least("x", "y").alias("question_id_a"), F.greatest("x", "y").alias("question_id_b")).distinct()
+
+
+def question_classes(questions: DataFrame, blocks: DataFrame, **kw) -> DataFrame:
+    """(question_id, rep, n_copies, n_links): every question with the representative of its text, how many questions have that
+    text, and to how many different texts it is similar. A row a question, so copies are never expanded into pairs."""
+    texts = materialise(question_texts(questions, blocks))
+    pairs, copies = similar_pairs(texts, "question_id", "text", **kw)
+    pairs = materialise(pairs.select("a", "b"))
+    link = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    size = copies.groupBy("rep").agg(F.count("*").alias("n_copies"))
+    r = texts.select(F.col("question_id").alias("id")).distinct().join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+    r = r.join(size, "rep", "left").join(link, "rep", "left")
+    return r.select(F.col("id").alias("question_id"), "rep", F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

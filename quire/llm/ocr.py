@@ -4,8 +4,10 @@
    hyphen at a line end are joined, also across such furniture; the rest is joined into paragraphs.
 2. *Lexicon*: counts of words, word pairs and ideograph triples over the whole clean part of the corpus.
 3. *Candidates*: every scan token that the lexicon lacks is looked up in a symmetric-delete index (strings with up to
-   two characters deleted on both sides; for ideographs the triple with its middle deleted). A weighted edit distance
-   in which only confusion pairs are cheap keeps plausible ones.
+   two characters deleted on both sides; for ideographs the triple with its middle deleted). Words for which that index
+   is too wide (over LONG letters, as it grows with the square) or too narrow (up to SHORT letters, where two deletions
+   leave nothing to tell them by) are looked up by their *skeleton* instead: equal for all words that confusions turn
+   into one another. A weighted edit distance in which only confusion pairs are cheap keeps plausible ones.
 4. *Choice*: cost, then how often the lexicon has the candidate next to the same neighbour.
 
 Steps 2-4 are joins of counted vocabularies, so they shuffle vocabularies and not texts. The table of repairs is sent to
@@ -39,6 +41,12 @@ PAIRS = frozenset(tuple(x.split("=")) for x in CONFUSIONS.split())
 #: cost of a confusion that is not a digit within letters, of a digit within letters, and the most a repair may cost
 LETTER_COST, DIGIT_COST, MOST = 0.4, 0.2, 0.85
 
+#: words of up to SHORT and of more than LONG letters are found by their skeleton, those up to LONG by deletions
+SHORT, LONG = 4, 24
+# Skeletons under which both sides of every confusion are equal. A character with no entry stands for itself.
+SKELETON = {"i": "1ltfr!|i", "ii": "unhb68", "iii": "m", "o": "ao0@ec", "oi": "d", "s": "s5$", "g": "g9q", "z": "z2", "v": "vy", "vv": "w"}
+_SKELETON = str.maketrans({c: k for k, chars in SKELETON.items() for c in chars})
+
 HYPHEN = "-‐‑¬\xad"
 _NUM = r"(?:\d{1,4}|[ivxlc]{1,7})"
 _HAN = r"[\d一二三四五六七八九十百零〇]{1,6}"
@@ -59,8 +67,8 @@ STARTS_WORD = re.compile(r"[^\W_]")
 
 
 def is_page_number(line: str) -> bool:
-    line = line.strip()
-    return 0 < len(line) <= 40 and PAGE_LINE.fullmatch(line) is not None
+    # blanks are squeezed, so that no pattern has to try where in a run of them to stop
+    return PAGE_LINE.fullmatch(" ".join(line.split())) is not None
 
 
 def is_running_header(line: str, title: str | None) -> bool:
@@ -183,6 +191,10 @@ def deletes(word: str, most: int = 2) -> list[str]:
     return sorted(out)
 
 
+def skeleton(word: str) -> str:
+    return word.translate(_SKELETON)
+
+
 def confusion_cost(seen: str, meant: str) -> float:
     """Least cost of turning ``seen`` into ``meant`` by confusion pairs alone; 9 if it can't be done."""
     n, m = len(seen), len(meant)
@@ -204,10 +216,13 @@ def confusion_cost(seen: str, meant: str) -> float:
     return cost[n][m]
 
 
-def _delete_rows(df: DataFrame) -> DataFrame:
+def _index_rows(df: DataFrame) -> DataFrame:
+    """(tok, del): each word under the keys by which it can be found."""
+
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in pdfs:
-            rows = [(t, d) for t in p.tok for d in deletes(t)]
+            rows = [(t, d) for t in p.tok if len(t) <= LONG for d in deletes(t)]
+            rows += [(t, "\0" + skeleton(t)) for t in p.tok if not SHORT + 1 < len(t) < LONG - 1]  # a confusion may add or take a letter
             yield pd.DataFrame(rows, columns=["tok", "del"])
 
     return df.select("tok").mapInPandas(run, "tok string, del string")
@@ -216,7 +231,7 @@ def _delete_rows(df: DataFrame) -> DataFrame:
 def repairs(scan: DataFrame, clean: DataFrame, min_count: int = 3, ratio: int = 10) -> DataFrame:
     """(kind, prev, tok, fix): what to read for a token (after ``prev``) or for the middle of an ideograph triple.
 
-    ``scan`` and ``clean`` have ``content`` and ``title``. A word is repaired if the clean lexicon has it less than
+    ``scan`` and ``clean`` have ``content`` and ``title``. A word of two or more letters, however long, is repaired if the clean lexicon has it less than
     ``min_count`` times and a candidate at least ``ratio`` times as often; an ideograph if the lexicon lacks it next to
     both of its neighbours and has a replacement there. Empty inputs give no repairs.
     """
@@ -225,10 +240,10 @@ def repairs(scan: DataFrame, clean: DataFrame, min_count: int = 3, ratio: int =
     # words
     words = lex.filter("kind = 'w'").groupBy("tok").agg(F.sum("n").alias("n"))
     good = words.filter(F.col("n") >= min_count)
-    odd = seen.filter("kind = 'w'").filter(F.length("tok").between(3, 24)).join(good.select("tok"), "tok", "left_anti")
+    odd = seen.filter("kind = 'w'").filter(F.length("tok") >= 2).join(good.select("tok"), "tok", "left_anti")
     types = odd.filter("tok RLIKE '[^0-9].*[^0-9]'").select("tok").distinct()
-    index = _delete_rows(good.filter(F.length("tok").between(3, 24))).withColumnRenamed("tok", "cand")
-    near = _delete_rows(types).join(index, "del").select("tok", "cand").distinct().filter(F.abs(F.length("tok") - F.length("cand")) <= 2)
+    index = _index_rows(good.filter(F.length("tok") >= 2)).withColumnRenamed("tok", "cand")
+    near = _index_rows(types).join(index, "del").select("tok", "cand").distinct().filter(F.abs(F.length("tok") - F.length("cand")) <= 2)
 
     def weigh(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in pdfs:
@@ -263,13 +278,19 @@ def repairs(scan: DataFrame, clean: DataFrame, min_count: int = 3, ratio: int =
 
 
 def _apply(text: str, fixes: dict, triple: dict) -> tuple[str, bool]:
-    """Repair one joined text; fixes by (prev, token), triple by three characters."""
+    """Repair one joined text; fixes by (prev, token), triple by three characters.
+
+    A word of up to SHORT letters with which a text breaks off (no mark follows, or an ellipsis) may be the beginning of a
+    longer one, so it is left as it is.
+    """
     low = text.lower()
+    end = low.rstrip()
+    end = len(end.rstrip(".…").rstrip() if end.endswith(("…", "...")) else end)
     out, at, prev, hit = [], 0, "", False
     for m in TOKEN.finditer(low):
         new = fixes.get((prev, m.group()))
         prev = m.group()
-        if new is not None:
+        if new is not None and not (m.end() >= end and len(prev) <= SHORT):
             raw = text[m.start() : m.end()]
             out += [text[at : m.start()], new.upper() if raw.isupper() and len(raw) > 1 else new.capitalize() if raw[:1].isupper() else new]
             at, hit = m.end(), True

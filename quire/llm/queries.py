@@ -37,6 +37,16 @@ def p3_canonical(s: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_text(t(s, d, "blocks"), "content", keep=["block_id"]).dropDuplicates(["block_id"])
 
 
+def p3_classes(s: SparkSession, d: str) -> DataFrame:
+    """Blocks that look like differently stored ones, by class."""
+    return canonical.same_look_classes(t(s, d, "blocks"), "block_id", "content")
+
+
+def p5_classes(s: SparkSession, d: str) -> DataFrame:
+    """Questions with their representative and the number of links that it has to other texts."""
+    return neardup.question_classes(t(s, d, "questions"), t(s, d, "blocks"))
+
+
 def p5_found(s: SparkSession, d: str) -> DataFrame:
     return neardup.similar_questions(t(s, d, "questions"), t(s, d, "blocks"))
 
@@ -45,6 +55,11 @@ def p6_found(s: SparkSession, d: str) -> DataFrame:
     return leak.eval_leaks(t(s, d, "documents"), t(s, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p6_reordered(s: SparkSession, d: str) -> DataFrame:
+    """Documents whose tiles cover at least half of an item, in whatever order its parts stand."""
+    return leak.eval_leaks(t(s, d, "documents"), t(s, d, "eval_items"), min_coverage=0.5).filter("coverage >= 0.5").select("doc_id", "item_id", F.round("coverage", 6).alias("coverage")).distinct()
+
+
 def p6_items(s: SparkSession, d: str) -> DataFrame:
     """Every item with the number of documents that leak it and the most of it found in one."""
     hit = leak.eval_leaks(t(s, d, "documents"), t(s, d, "eval_items")).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.round(F.max("coverage"), 6).alias("max_coverage"))
@@ -73,7 +88,7 @@ def p8_makeup(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_repaired, p3_found, p3_canonical, p5_found, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_makeup)}
+    return {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_repaired, p3_found, p3_canonical, p3_classes, p5_found, p5_classes, p6_found, p6_reordered, p6_items, p7_mix, p7_shares, p8_found, p8_makeup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,7 +32,7 @@ from quire.session import materialise
 
 TERM = re.compile(r"[a-zà-ɏ]{3,}")
 HAN_RUN = re.compile("[㐀-鿿]+")
-SAID = re.compile(r"\"[^\"]{0,400}\"|“[^”]{0,400}”|„[^“]{0,400}“|«[^»]{0,400}»")
+SAID = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“]*“|«[^»]*»")
 DIGITS = re.compile(r"\d+")
 #: share of all documents from which a paragraph is stock, and the least count
 STOCK_SHARE, STOCK_LEAST = 5e-4, 5
@@ -54,30 +53,42 @@ def stock_key(paragraph: str) -> int:
     return xxhash.xxh64_intdigest(DIGITS.sub("9", paragraph)) - 2**63
 
 
-def stock_paragraphs(docs: DataFrame, text: str) -> set[int]:
-    """Keys of paragraphs that stand in many documents. At most (paragraphs a document) / STOCK_SHARE keys exist."""
+def topical(paragraphs: list[str]) -> list[tuple[int, list[str]]]:
+    """(stock key, sentences without quoted speech) of the paragraphs that have two or more."""
+    out = []
+    for p in paragraphs:
+        s = sentences(SAID.sub(" ", p))
+        if len(s) >= 2:
+            out.append((stock_key(p), s))
+    return out
+
+
+PARAGRAPHS = "array<struct<key:bigint,sentences:array<string>>>"
+
+
+def own_paragraphs_of(docs: DataFrame) -> DataFrame:
+    """doc_id, mailbox, source, subject line and own paragraphs of every message, parsed once. Narrow."""
+    d = docs.select("doc_id", "text", F.lower(F.trim("mailbox")).alias("mailbox"), F.regexp_replace(F.lower(F.trim("source")), "[-\\s]+", "_").alias("source"))
+    schema = T.StructType([d.schema["doc_id"], *(T.StructField(c, T.StringType()) for c in ("mailbox", "source", "subject_line")), T.StructField("paragraphs", T._parse_datatype_string(PARAGRAPHS))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("key", pa.int64()), ("sentences", pa.list_(pa.string()))]))
         for b in batches:
-            c: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                c.update({stock_key(p) for p in own_text(parse(t)[1])})
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], names=["key", "n"])
+            head, own = [], []
+            for t in b.column(1).to_pylist():
+                h, parts = parse(t)
+                head.append(decode_words(h.get("subject", "")))
+                own.append([{"key": k, "sentences": s} for k, s in topical(own_text(parts))])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(head, pa.string()), pa.array(own, kind)], names=schema.names)
 
-    total = docs.count()
-    n = docs.select(text).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return {r.key for r in n.filter(F.col("n") >= max(STOCK_LEAST, STOCK_SHARE * total)).collect()}
+    return d.mapInArrow(run, schema)
 
 
-def topical(paragraphs: list[str], stock: set[int]) -> list[list[str]]:
-    """Paragraphs as sentences: no stock, no quoted speech, and only those of two sentences or more."""
-    out = []
-    for p in paragraphs:
-        if stock_key(p) not in stock:
-            s = sentences(SAID.sub(" ", p))
-            if len(s) >= 2:
-                out.append(s)
-    return out
+def stock_paragraphs(own: DataFrame) -> set[int]:
+    """Keys of paragraphs that stand in many documents. At most (paragraphs a document) / STOCK_SHARE keys exist."""
+    total = own.count()
+    n = own.select(F.explode(F.array_distinct(F.transform("paragraphs", lambda p: p["key"]))).alias("key")).groupBy("key").count()
+    return {r.key for r in n.filter(F.col("count") >= max(STOCK_LEAST, STOCK_SHARE * total)).collect()}
 
 
 def fit_lexicon(sample: list[tuple[list[str], set[str]]], exam: list[str], subjects: list[str], rounds: int = 12, alpha: float = 0.05, purity: float = 0.85, least: float = 1.8) -> dict[str, int]:
@@ -172,7 +183,10 @@ def fit_votes(counts: dict[tuple, float], rounds: int = 50) -> tuple[dict[tuple,
 
 
 def _consensus(labels: DataFrame) -> DataFrame:
-    """(doc_id, subjects): subjects that at least half of a document's annotators gave; empty for none."""
+    """(doc_id, subjects): subjects that any of up to four annotators gave a document, or at least half of more; empty for none.
+
+    Few annotators each mark some of several subjects, so that one alone is right more often than not; against many, one is an outlier.
+    """
     each = labels.filter("doc_id IS NOT NULL AND subject IS NOT NULL").select("doc_id", "subject", F.coalesce("annotator", F.lit(-1)).alias("annotator")).distinct()
     total = each.groupBy("doc_id").agg(F.count_distinct("annotator").alias("all"))
     kept = each.groupBy("doc_id", "subject").agg(F.count("*").alias("k")).join(total, "doc_id").filter("2 * k >= all OR all <= 4")
@@ -195,22 +209,20 @@ def _majority(sample: list, column: int, subjects: list[str]) -> dict:
     return out
 
 
-def subject_votes(docs: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame | None = None, sample_docs: int = 8000) -> tuple[DataFrame, list[str], dict]:
+def subject_votes(docs: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame | None = None, sample_docs: int = 8000, sample_items: int = 2000) -> tuple[DataFrame, list[str], dict]:
     """(votes, subjects, labelled): doc_id, subject, level, section, address, source_vote and label for every document and
-    subject with at least one vote; ``labelled`` has the sample's (label 0, label 1) documents by subject."""
+    subject with at least one vote; ``labelled`` has the sample's (label 0, label 1) documents by subject.
+
+    The lexicon is fitted on at most ``sample_docs`` labelled documents and ``sample_items`` exam texts, those of least hash.
+    """
     subjects = [r.subject for r in areas.select("subject").filter("subject IS NOT NULL").distinct().orderBy("subject").collect()]
-    d = docs.select("doc_id", "text", F.lower(F.trim("mailbox")).alias("mailbox"), F.regexp_replace(F.lower(F.trim("source")), "[-\\s]+", "_").alias("source"))
-    stock = stock_paragraphs(d, "text")
+    d = materialise(own_paragraphs_of(docs))
+    stock = stock_paragraphs(d)
     chosen = materialise(_consensus(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
-
-    def own(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in pdfs:
-            yield pd.DataFrame({"paragraphs": [["\n".join(s) for s in topical(own_text(parse(t)[1]), stock)] for t in p.text], "subjects": p.subjects, "mailbox": p.mailbox, "source": p.source})
-
     # the sample is bounded, so its paragraphs may come to the driver
-    rows = d.join(F.broadcast(chosen), "doc_id").select("text", "subjects", "mailbox", "source").mapInPandas(own, "paragraphs array<string>, subjects array<string>, mailbox string, source string").collect()
-    sample = [(r.paragraphs, {s for s in r.subjects if s in subjects}, r.mailbox, r.source) for r in rows]
-    exam = [r.text for r in items.select("text").filter("text IS NOT NULL").limit(2000).collect()] if items is not None else []
+    rows = d.join(F.broadcast(chosen), "doc_id").select("paragraphs", "subjects", "mailbox", "source").collect()
+    sample = [(["\n".join(p.sentences) for p in r.paragraphs if p.key not in stock], {s for s in r.subjects if s in subjects}, r.mailbox, r.source) for r in rows]
+    exam = [r.text for r in items.select("text").filter("text IS NOT NULL").distinct().orderBy(F.xxhash64("text"), "text").limit(sample_items).collect()] if items is not None else []
     lexicon = fit_lexicon([x[:2] for x in sample], exam, subjects)
     by_box, by_source = _majority(sample, 2, subjects), _majority(sample, 3, subjects)
 
@@ -226,14 +238,14 @@ def subject_votes(docs: DataFrame, labels: DataFrame, areas: DataFrame, items: D
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[], [], [], [], [], []]
-            for k, (text, box, src) in enumerate(zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))):
-                head, parts = parse(text)
+            for k, (box, src, line, paragraphs) in enumerate(zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)))):
                 best = [0] * len(subjects)
-                for para in topical(own_text(parts), stock):
-                    here = Counter(s for x in para for s in hit(x))
-                    for s, n in here.items():
-                        best[s] = max(best[s], n)
-                section = hit(decode_words(head.get("subject", "")))
+                for para in paragraphs:
+                    if para["key"] not in stock:
+                        here = Counter(s for x in para["sentences"] for s in hit(x))
+                        for s, n in here.items():
+                            best[s] = max(best[s], n)
+                section = hit(line)
                 for s in range(len(subjects)):
                     v = (min(best[s], LEVELS - 1), int(s in section), int(by_box.get(box) == s), int(by_source.get(src) == s))
                     if any(v):
@@ -242,7 +254,7 @@ def subject_votes(docs: DataFrame, labels: DataFrame, areas: DataFrame, items: D
             arrays = [b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int32()) for c in cols[2:])]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    votes = d.select("doc_id", "text", "mailbox", "source").mapInArrow(vote, schema)
+    votes = d.select("doc_id", "mailbox", "source", "subject_line", "paragraphs").mapInArrow(vote, schema)
     # at most sample_docs rows
     votes = votes.join(F.broadcast(chosen), "doc_id", "left").select(*schema.names, F.when(F.isnull("subjects"), -1).otherwise(F.array_contains("subjects", F.col("subject")).cast("int")).alias("label"))
     yes = Counter(x for r in sample for x in r[1])

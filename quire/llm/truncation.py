@@ -29,10 +29,8 @@ from quire.session import materialise
 
 #: characters after which a text may end
 TERMINAL = "。．.？！?!）)】\\]》」』〉”\"’'；;:：…"
-#: least characters of a text for its end to be judged as prose
-MIN_PROSE = 24
-#: characters before an ellipsis that are compared, and the share of all ellipses from which they are a phrase
-TAIL, PHRASE_SHARE, PHRASE_LEAST = 6, 0.01, 3
+#: a phrase before an ellipsis: its last letters and digits, out of how many characters; the share of all ellipses from which they are a phrase
+TAIL, PHRASE_CHARS, PHRASE_SHARE, PHRASE_LEAST = 6, 48, 0.01, 3
 
 
 def strict_prefixes(df: DataFrame, column: str, partitions: int | None = None) -> DataFrame:
@@ -74,39 +72,45 @@ def _tidy(text, title):  # noqa: ANN001, ANN202
     return pd.Series([None if x is None else "\n".join(split_lines(x, y)[0]) for x, y in zip(a, b)])
 
 
-def _end(text: Column, n: int = 48) -> Column:
-    """The last ``n`` characters without trailing blanks; all patterns look at these alone, so they cost the same for any length."""
-    return F.right(F.rtrim(text), F.lit(n))
-
-
-def _ends(end: Column) -> dict[str, Column]:
-    dots = end.endswith("…") | end.endswith("...")
+def _ends(body: Column) -> dict[str, Column]:
+    """What the end of a text says. Patterns look at its last characters alone where no more can matter, so they cost the same for any length."""
+    text = F.rtrim(body, F.lit(" \t\n\r\x0b\x0c"))
+    last = F.right(text, F.lit(8))
+    dots = text.endswith("…") | text.endswith("...")
+    # what stands before the ellipsis, however many marks it has
+    bare = F.right(F.rtrim(text, F.lit("….\"'”’）)】] ")), F.lit(PHRASE_CHARS))
+    number = last.rlike(r"\d\.$")
+    # a number in a text of ideographs: the sentence it stands in is what follows the last full stop
+    sentence = F.substring_index(F.translate(text, "？！", "。。"), "。", -1)
     return {
         "dots": dots,
-        "tail": F.when(dots, F.right(F.regexp_replace(end, r"[^\p{L}\p{N}]", ""), F.lit(TAIL))),
-        "open": ~end.rlike(rf"[{TERMINAL}]\s*$") | end.rlike(r"\p{IsHan}[^。？！]*\d\.\s*$"),
-        "number": end.rlike(r"\d\.\s*$"),
-        "broken": end.rlike("\ufffd\\s*$"),
+        "tail": F.when(dots, F.right(F.regexp_replace(bare, r"[^\p{L}\p{N}]", ""), F.lit(TAIL))),
+        "open": ~last.rlike(rf"[{TERMINAL}]$") | (number & sentence.rlike(r"\p{IsHan}")),
+        "number": number,
+        "broken": text.endswith("\ufffd"),
     }
 
 
-def truncated(blocks: DataFrame, exams: DataFrame, scan_sources: tuple[str, ...] = SCAN_SOURCES) -> DataFrame:
+def truncated(blocks: DataFrame, exams: DataFrame, scan_sources: tuple[str, ...] = SCAN_SOURCES, min_prose: int = 24, limit_cases: int = 5, limit_share: float = 0.1) -> DataFrame:
     """(block_id, source, evidence): one row per block of text, equation or table; ``evidence`` is null for whole blocks.
 
     ``longer_copy`` (open end and a longer copy exists), ``limit`` (at a length limit of its source, and a longer copy
     exists or it ends within a number), ``markup``, ``broken_char``, ``ellipsis``, ``open_end``. Null and blank content is whole; so are title
     blocks, options, sub-questions that end in a semicolon and page furniture. Redelivered blocks count once. Blocks
     whose exam is unknown have a null source.
+
+    Prose of less than ``min_prose`` characters is not told from headings and labels by its end, so it counts as whole
+    unless it holds open markup or a broken character. A length is a limit of its source if at least ``limit_cases`` open ends and a ``limit_share`` of all have it.
     """
     use = blocks.select("block_id", "doc_id", "block_type", "content", "text_level", "block_ord").filter(F.col("block_type").isin("text", "equation", "table"))
     known = with_titles(use, exams).select("block_id", "block_type", "content", "text_level", "source", "title")
     lost = use.join(exams.select("doc_id").distinct(), "doc_id", "left_anti").select("block_id", "block_type", "content", "text_level", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("title"))
     rows = known.unionByName(lost)
     prose = (F.col("block_type") == "text") & (F.coalesce("text_level", F.lit(0)) != 1)
-    need = prose & (F.col("source").isin(*scan_sources) | _end(F.col("content"), 4).rlike(r"(?:…|\.\.\.)\s*$"))
+    need = prose & (F.col("source").isin(*scan_sources) | F.right(F.rtrim("content"), F.lit(4)).rlike(r"(?:…|\.\.\.)\s*$"))
     body = F.coalesce(F.col("tidy"), F.col("content"), F.lit(""))
     rows = rows.withColumn("tidy", _tidy(F.when(need, F.col("content")), F.when(need, F.col("title"))))
-    e = _ends(_end(body))
+    e = _ends(body)
     plain = F.replace(body, F.lit("\\$"))
     dollars = F.length(plain) - F.length(F.replace(plain, F.lit("$")))
     double = (F.length(plain) - F.length(F.replace(plain, F.lit("$$")))) / 2
@@ -123,7 +127,7 @@ def truncated(blocks: DataFrame, exams: DataFrame, scan_sources: tuple[str, ...]
             F.length("content").alias("chars"),
             F.octet_length("content").alias("bytes"),
             (prose & (F.length(F.trim(body)) > 0) & ~option).alias("prose"),
-            (F.length(F.trim(body)) >= MIN_PROSE).alias("long"),
+            (F.length(F.trim(body)) >= min_prose).alias("long"),
             F.coalesce(markup, F.lit(False)).alias("markup"),
             e["broken"].alias("broken"),
             e["dots"].alias("dots"),
@@ -141,7 +145,7 @@ def truncated(blocks: DataFrame, exams: DataFrame, scan_sources: tuple[str, ...]
     # limits of a source: lengths in characters or bytes at which open ends pile up
     size = rows.filter("prose AND long AND open AND NOT dots").select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n")))).alias("u")).groupBy("source", "u.unit", "u.n").agg(F.count("*").alias("k"))
     total = size.groupBy("source", "unit").agg(F.sum("k").alias("all"))
-    limit = size.join(total, ["source", "unit"]).filter("k >= 5 AND k >= 0.1 * all").select("source", "unit", F.col("n").alias("len"))
+    limit = size.join(total, ["source", "unit"]).filter((F.col("k") >= limit_cases) & (F.col("k") >= limit_share * F.col("all"))).select("source", "unit", F.col("n").alias("len"))
     by_chars = limit.filter("unit = 'chars'").select("source", F.col("len").alias("chars"), F.lit(True).alias("at_c"))
     by_bytes = limit.filter("unit = 'bytes'").select("source", F.col("len").alias("bytes"), F.lit(True).alias("at_b"))
     r = rows.join(longer, ["h1", "h2"], "left").join(phrase, "tail", "left").join(by_chars, ["source", "chars"], "left").join(by_bytes, ["source", "bytes"], "left")

@@ -134,3 +134,37 @@ def test_queries_small(spark):
     for name, f in queries.queries().items():
         df = f(spark, SMALL)
         assert df.count() >= 0, name
+
+
+def test_words_of_any_length(spark):
+    long = "thermodynamischeuntersuchungsmethode"
+    clean = f"the burn of it is in the {long} and of it. "
+    ex = exams(spark, ("a", "T", "clean"), ("s", "U", "phone_scan"))
+    rows = [("a", "text", clean * 40, 0), ("s", "text", f"the bum of it is ln the {long.replace('m', 'rn', 1)} and of it.", 0), ("s", "text", "the burn of it and ln", 0)]
+    r = {x.block_id: (x.repaired, x.noise) for x in ocr.repair_scanned(blocks(spark, rows), ex).collect()}
+    assert r[1] == (f"the burn of it is in the {long} and of it.", ["misread"])
+    assert r[2] == ("the burn of it and ln", [])  # it may be the beginning of a word
+    for seen, meant in (("bum", "burn"), ("cl", "d"), ("vvli1e", "white")):
+        assert ocr.skeleton(seen) == ocr.skeleton(meant)
+    assert all(ocr.skeleton(a) == ocr.skeleton(b) for a, b in ocr.PAIRS)
+
+
+def test_page_lines_of_any_length():
+    assert ocr.is_page_number("-" * 60 + " 12 " + "-" * 60) and ocr.is_page_number("第" + " " * 50_000 + "3 页") and not ocr.is_page_number("- " + " " * 50_000 + "x")
+
+
+def test_limits_are_parameters(spark):
+    rows = [("a", "text", "The rod rests on", 0), ("a", "text", "A short remark with no stop", 0), ("a", "text", "已知" + "弹簧" * 60 + " 2.", 0)]
+    ex = exams(spark, ("a", "T", "web"))
+    found = lambda **kw: {r.block_id for r in truncation.truncated(blocks(spark, rows), ex, **kw).filter("evidence IS NOT NULL").collect()}
+    assert found() == {1, 2} and found(min_prose=10) == {0, 1, 2}
+    copies = [("a", "text", f"Remark number {i} ends here; {'x' * (30 - len(str(i)))};", 0) for i in range(6)] + [("a", "text", f"Remark {i} goes on and on {'y' * (30 - len(str(i)))}", 0) for i in range(6)]
+    kinds = lambda **kw: {r.evidence for r in truncation.truncated(blocks(spark, copies), ex, **kw).collect()}
+    assert kinds() == {None, "open_end"} == kinds(limit_cases=99)
+
+
+def test_classes(spark):
+    df = spark.createDataFrame([(1, "a１"), (2, "a1"), (2, "a1"), (3, "a1"), (4, "b"), (5, "b"), (6, None), (7, "")], "id long, content string").withColumn("c1", F.lit(0))
+    got = {tuple(r) for r in canonical.same_look_classes(df, "id", "content").collect()}
+    assert got == {(1, 1, 3, 2), (2, 1, 3, 2), (3, 1, 3, 2)}
+    assert canonical.same_look_classes(df.limit(0), "id", "content").count() == 0
