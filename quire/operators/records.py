@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from quire.functions import rx
 from quire.functions.text import semver
+from quire.session import materialise
 
 
 def content_key(c: Column) -> Column:
@@ -101,7 +102,8 @@ def dedup_jaccard(df: DataFrame, text: str, id_col: str, words: int = 5, thresho
     and no pairs.
     """
     s = shingle_sets(df, text, id_col, words).filter(F.size("s") > 0)
-    rep = s.groupBy("s").agg(F.min("id").alias("id")).withColumn("n", F.size("s"))
+    # written once: four branches below read it, and the texts are shingled a single time
+    rep = materialise(s.groupBy("s").agg(F.min("id").alias("id")).withColumn("n", F.size("s")))
     tok = rep.select("id", "n", F.explode("s").alias("h"))
     held = tok.groupBy("h").agg(F.count("*").alias("held"))
     rank = F.row_number().over(W.partitionBy("id").orderBy("held", "h"))
