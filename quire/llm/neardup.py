@@ -123,18 +123,18 @@ def shingle_order(text: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def size_groups(sizes: np.ndarray, records: np.ndarray, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """(first, parts, pairs): for each size its first group and over how many it is spread, so that a group has about ``most`` records; and the pairs of groups that may hold similar sets."""
+    """(first, parts, pairs): for each size its first group and over how many it is spread, so that a group has about ``most`` shingles; and the pairs of groups that may hold similar sets."""
     first, parts, low, high = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), [], []
     room = 0
     for i, (size, n) in enumerate(zip(sizes.tolist(), records.tolist())):
-        if n > room:
-            parts[i] = -(-n // most)
+        if n * size > room:
+            parts[i] = min(n, -(-n * size // most))
             low += [size] * int(parts[i])
             high += [size] * int(parts[i])
             room = most if parts[i] == 1 else 0
         first[i] = len(low) - parts[i]
         high[-1] = size
-        room -= n
+        room -= n * size
     return first, parts, [(g, j) for g in range(len(low)) for j in range(g, len(low)) if high[g] >= threshold * low[j] - 1e-6]
 
 
@@ -297,13 +297,13 @@ def near(x: dict[int, np.ndarray], y: dict[int, np.ndarray], m: np.ndarray, n: n
     return ok
 
 
-def similar_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.6, group: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def similar_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.6, group: int = 25_000_000) -> tuple[DataFrame, DataFrame]:
     """(pairs, copies): pairs (a, b, similarity), a < b, of representatives, and copies (id, rep) of equal texts.
 
     A representative is the smallest id of the records with equal text; records without a copy aren't in ``copies``.
     Null text counts as empty; texts shorter than ``k`` characters have no shingles and are similar only to equal ones.
-    A repeated id counts once per distinct text. Other columns are ignored. ``group`` is how many records a task compares
-    with as many others; it doesn't change the result.
+    A repeated id counts once per distinct text. Other columns are ignored. ``group`` is how many shingles of records a
+    task compares with as many others; it doesn't change the result.
     """
     text = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = materialise(text.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64("text", F.lit(1))))

@@ -83,7 +83,7 @@ def test_no_pair_is_missed(spark):
     want = {(a, b) for a, b in itertools.combinations(s, 2) if len(s[a] & s[b]) >= 0.6 * len(s[a] | s[b])}
     assert len(want) > 100 and any(len(s[a]) < 5 for a, _ in want)
     df = spark.createDataFrame(rows, "id long, text string")
-    for kw in ({}, {"group": 50}):
+    for kw in ({}, {"group": 3000}):
         assert {(r.a, r.b) for r in neardup.similar_pairs(df, "id", "text", **kw)[0].collect()} == want
 
 
