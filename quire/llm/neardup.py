@@ -180,7 +180,7 @@ def meet(left: tuple, right: tuple | None, threshold: float, most: int = 100_000
     # places of a token in the order of their reach, so that those too late for a probe aren't touched
     code = tok.astype(np.uint64) << np.uint64(32) | np.minimum(reach(n, own, off), 2**32 - 1).astype(np.uint64)
     o = np.argsort(code)
-    code, own = code[o], own[o]
+    code, own, bits = code[o], own[o].astype(np.uint32 if len(n) < 2**32 else np.uint64), len(n).bit_length()
     for first in range(0, len(pn), ROWS):
         m = pn[first : first + ROWS]
         at = poff[first : first + ROWS + 1]
@@ -207,10 +207,13 @@ def meet(left: tuple, right: tuple | None, threshold: float, most: int = 100_000
             k = count[a:z]
             if k.sum():
                 i = own[np.repeat(lo[a:z] - np.cumsum(k) + k, k) + np.arange(k.sum())]
-                ok = i < np.repeat(end[a:z], k)
-                pair = np.sort((np.repeat(j[a:z] << 32, k) | i)[ok])  # unique() hashes, which is slower
-                pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
-                yield pair & (2**32 - 1), first + (pair >> 32)
+                # both rows in one number, of 32 bits where that holds them
+                wide = np.uint32 if (stop - done) << bits < 2**32 else np.uint64
+                pair = np.repeat((j[a:z] - done).astype(wide) << wide(bits), k) | i.astype(wide, copy=False)
+                pair = np.sort(pair[i < np.repeat(end[a:z].astype(own.dtype), k)])  # unique() hashes, which is slower
+                if len(pair):
+                    pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])]
+                    yield (pair & wide((1 << bits) - 1)).astype(np.int64), first + done + (pair >> wide(bits)).astype(np.int64)
             done = stop
 
 
@@ -267,32 +270,24 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return np.ascontiguousarray(bits)
 
 
-def hamming(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Differing bits of each row, by adding up the words' counts in lanes (at most 16 words)."""
-    c = np.bitwise_count(x ^ y)
-    lanes = c.view(np.uint32 if c.shape[1] == 4 else np.uint64)
-    s = lanes[:, 0].astype(np.uint64)
-    for k in range(1, lanes.shape[1]):
-        s = s + lanes[:, k]
-    pairs = (s & np.uint64(0x00FF00FF00FF00FF)) + (s >> np.uint64(8) & np.uint64(0x00FF00FF00FF00FF))
-    return ((pairs * np.uint64(0x0001000100010001)) >> np.uint64(48)).astype(np.int64)
-
-
 def near(x: dict[int, np.ndarray], y: dict[int, np.ndarray], m: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
     """Which of the pairs (i, j) the parity sketches don't rule out; x, y have those of sets of m, n shingles, by their words.
 
-    Where the sets are small a folded sketch rules most of them out, and the whole one is asked only of the rest.
+    A sketch is a column of words, so that a word's array stays in the cache. Where the sets are small a folded sketch rules
+    most pairs out, and the whole one is asked only of the rest.
     """
     apart = (1 - threshold) / (1 + threshold)
     ok = np.zeros(len(i), bool)
-    for lo in range(0, len(i), 16384):
-        a, b = i[lo : lo + 16384], j[lo : lo + 16384]
-        both = m[a] + n[b]
-        most = apart * both + 1e-9
+    for lo in range(0, len(i), 32768):
+        a, b = i[lo : lo + 32768], j[lo : lo + 32768]
+        most = apart * (m[a] + n[b]) + 1e-9
         left = np.arange(len(a))
         for words in sorted(x):
             if words * 64 >= 2.3 * most.max() or words == max(x):
-                left = left[hamming(x[words][a[left]], y[words][b[left]]) <= most[left]]
+                p, q, differ = a[left], b[left], np.zeros(len(left), np.uint16)
+                for u, v in zip(x[words], y[words]):
+                    differ += np.bitwise_count(u[p] ^ v[q])
+                left = left[differ <= most[left]]
         ok[lo + left] = True
     return ok
 
@@ -357,7 +352,7 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 5, thresho
             bits = np.frombuffer(byte_view(s["bits"].combine_chunks().cast(pa.large_binary()))[0], np.uint64).reshape(len(s), -1)
             tok = np.zeros((len(raw) // TOKEN_BYTES, 4), np.uint8)
             tok[:, :TOKEN_BYTES] = raw.reshape(-1, TOKEN_BYTES)
-            sides.append((s["id"], {w: folded(bits, w) for w in (4, 8, 16) if w <= bits.shape[1]}, (s["n"].to_numpy(), tok.view(np.uint32).ravel(), np.asarray(off) // TOKEN_BYTES)))
+            sides.append((s["id"], {w: np.ascontiguousarray(folded(bits, w).T) for w in (4, 8, 16) if w <= bits.shape[1]}, (s["n"].to_numpy(), tok.view(np.uint32).ravel(), np.asarray(off) // TOKEN_BYTES)))
         out = []
         for i, j in meet(sides[0][2], sides[1][2] if len(sides) > 1 else None, threshold):
             ok = near(sides[0][1], sides[-1][1], sides[0][2][0], sides[-1][2][0], i, j, threshold)
