@@ -318,3 +318,40 @@ def test_topics_odd_inputs(spark):
     assert topics.document_subjects(docs, labels, areas.limit(0), items).count() == 0
 
 
+
+
+def shuffled(spark, run):
+    """Bytes that a run shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    total = lambda: sum(x.shuffleWriteBytes() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+    before = total()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return total() - before
+
+
+def test_groups_dont_copy_records(spark):
+    rnd = random.Random(8)
+    rows = [(i, "".join(rnd.choice("abcdefghijklmnop") for _ in range(120))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    few, many = (shuffled(spark, lambda g=g: neardup.similar_pairs(df, "id", "text", group=g)[0].collect()) for g in (25_000_000, 12_000))
+    assert many < 1.5 * few
+
+
+def test_copies_arent_shuffled_as_pairs(spark):
+    base = "a text of which there are many copies in this bank"
+    b = spark.createDataFrame([], "doc_id string, q_ord int, block_id long, block_ord int, block_type string, content string")
+    sizes = []
+    for n in (100, 800):
+        q = spark.createDataFrame([("d", i, i, base + "!" * (i % 2)) for i in range(n)], "doc_id string, q_ord int, question_id long, label string")
+        pairs = neardup.similar_questions(q, b)
+        sizes.append(shuffled(spark, lambda p=pairs, n=n: p.write.format("noop").mode("overwrite").save()))
+        assert pairs.count() == n * (n - 1) // 2
+    assert sizes[1] < 16 * sizes[0] + 30_000
+
+
+def test_ids_with_several_texts(spark):
+    base = ["first text that is long enough to compare", "second one, which differs from all the others"]
+    q = spark.createDataFrame([("d", 0, 1, base[0]), ("d", 1, 1, base[1]), ("d", 2, 2, base[0] + "s"), ("d", 3, 2, base[1] + "s"), ("d", 4, 5, "x" + base[0]), ("d", 5, 5, base[0] + "x")], "doc_id string, q_ord int, question_id long, label string")
+    b = spark.createDataFrame([], "doc_id string, q_ord int, block_id long, block_ord int, block_type string, content string")
+    assert sorted(tuple(r) for r in neardup.similar_questions(q, b).collect()) == [(1, 2), (1, 5), (2, 5)]
