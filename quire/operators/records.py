@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from quire.functions import rx
 from quire.functions.text import semver
+from quire.operators import setjoin
 from quire.session import materialise
 
 
@@ -52,46 +53,92 @@ def insert_similar(bank: DataFrame, drafts: DataFrame, text: str, id_col: str, w
     overlap for near ones and 0 for new drafts; ``match_id`` is the row it was found with. The bank's ids need not differ
     from the drafts'. Null text counts as empty.
     """
-    side = lambda df, k: df.select(F.struct(F.lit(k).alias("side"), F.col(id_col).alias("id")).alias("__id"), F.col(text).alias("__text"))
-    every = side(bank, 0).unionByName(side(drafts, 1)).withColumn("__key", content_key(F.col("__text")))
-    first = every.groupBy("__key").agg(F.min("__id").alias("__first"))
-    mine = every.filter("__id.side = 1").join(first, "__key").select("__id", F.when(F.col("__first") != F.col("__id"), F.col("__first")).alias("same"))
-    member = jaccard_members(every, "__text", "__id", words).filter("id.side = 1 AND id != kept_id").select(F.col("id").alias("__id"), F.lit(1.0).alias("similarity"), F.col("kept_id").alias("other"))
-    pairs = dedup_jaccard(every, "__text", "__id", words, threshold).filter("id_b.side = 1").select(F.col("id_b").alias("__id"), "similarity", F.col("id_a").alias("other"))
-    near = member.unionByName(pairs).groupBy("__id").agg(F.max("similarity").alias("similarity"), F.min_by("other", F.struct(-F.col("similarity"), F.col("other"))).alias("other"))
-    r = mine.join(near, "__id", "left")
+    side = lambda df, k: df.select(F.struct(F.lit(k).alias("side"), F.col(id_col).alias("id")).alias("id"), F.col(text).alias("text"))
+    every = side(bank, 0).unionByName(side(drafts, 1)).withColumn("key", F.unhex(content_key(F.col("text"))))
+    # written once, with a digest of each row's shingles: the branches below read narrow columns of it
+    every = materialise(set_digests(every, words))
+    first = every.groupBy("key").agg(F.min("id").alias("first"))
+    mine = every.filter("id.side = 1").select("id", "key").join(first, "key").select("id", F.when(F.col("first") != F.col("id"), F.col("first")).alias("same"))
+    equal = every.filter("digest IS NOT NULL").select("id", "digest")
+    kept = equal.groupBy("digest").agg(F.min("id").alias("kept"), F.max("id").alias("last")).filter("kept != last").select("digest", "kept")
+    member = materialise(equal.join(kept, "digest").filter("id != kept").select("id", "digest", "kept"))
+    rep = every.filter("digest IS NOT NULL").select("id", "digest", "text").join(member.select("id", "digest"), ["id", "digest"], "left_anti").select("id", "text")
+    cand = setjoin.candidates(rep, lambda arr, rank: word_sets(arr, words, rank), threshold).filter("b.side = 1")
+    pairs = set_similarity(cand, every.select("id", "text"), words).filter(F.col("similarity") >= threshold - 1e-9).select(F.col("b").alias("id"), "similarity", F.col("a").alias("other"))
+    near = member.filter("id.side = 1").select("id", F.lit(1.0).alias("similarity"), F.col("kept").alias("other")).unionByName(pairs)
+    near = near.groupBy("id").agg(F.max("similarity").alias("similarity"), F.min_by("other", F.struct(-F.col("similarity"), F.col("other"))).alias("other"))
+    r = mine.join(near, "id", "left")
     reason = F.when(F.col("same").isNotNull(), "exact").when(F.col("other").isNotNull(), "near_dup").otherwise("new")
-    return r.select(F.col("__id.id").alias("id"), (reason == "new").alias("is_new"), F.when(F.col("same").isNotNull(), 1.0).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("similarity"), reason.alias("reason"), F.coalesce("same.id", "other.id").alias("match_id"))
+    return r.select(F.col("id.id").alias("id"), (reason == "new").alias("is_new"), F.when(F.col("same").isNotNull(), 1.0).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("similarity"), reason.alias("reason"), F.coalesce("same.id", "other.id").alias("match_id"))
 
 
 TOKEN = re.compile("[a-zà-ÿ0-9]+|[一-鿿]")
 
 
+def word_hashes(texts: Iterable[str | None], words: int, known: dict[str, int]) -> Iterator[np.ndarray]:
+    """For each text the hashes of its runs of ``words`` words (an ideograph is a word); ``known`` keeps the words' hashes."""
+    for t in texts:
+        w = TOKEN.findall(t.lower()) if t else []
+        code = np.array([known.get(x) or known.setdefault(x, xxhash.xxh64_intdigest(x) or 1) for x in w], np.uint64)
+        h = np.zeros(max(0, len(w) - words + 1), np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(words if len(h) else 0):
+                h = (h ^ code[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+        if len(known) > 1_000_000:
+            known.clear()
+        yield h
+
+
 def shingle_sets(df: DataFrame, text: str, id_col: str, words: int) -> DataFrame:
     """(id, s): sorted distinct hashes of runs of ``words`` words (an ideograph is a word), a batch at a time. Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for b in batches:
-            sets = []
-            for t in b.column(1).to_pylist():
-                w = TOKEN.findall(t.lower()) if t else []
-                code = np.array([known.get(x) or known.setdefault(x, xxhash.xxh64_intdigest(x) or 1) for x in w], np.uint64)
-                h = np.zeros(max(0, len(w) - words + 1), np.uint64)
-                with np.errstate(over="ignore"):
-                    for i in range(words if len(h) else 0):
-                        h = (h ^ code[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-                        h ^= h >> np.uint64(29)
-                sets.append(np.unique(h.view(np.int64)))
+            sets = [np.unique(h.view(np.int64)) for h in word_hashes(b.column(1).to_pylist(), words, known)]
             off = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["id", "s"])
-            if len(known) > 1_000_000:
-                known.clear()
 
     return df.select(F.col(id_col).alias("id"), text).mapInArrow(run, T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("s", T.ArrayType(T.LongType()))]))
 
 
+def set_digests(df: DataFrame, words: int) -> DataFrame:
+    """df (id, text, key) with ``digest``: 128 bits of the set of word shingles, null where there are none. Narrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            got = [xxhash.xxh128_digest(np.unique(h).tobytes()) if len(h) else None for h in word_hashes(b.column(1).to_pylist(), words, known)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=["id", "text", "key", "digest"])
+
+    return df.select("id", "text", "key").mapInArrow(run, T.StructType([df.schema["id"], df.schema["text"], df.schema["key"], T.StructField("digest", T.BinaryType())]))
+
+
+def word_sets(arr: pa.Array, words: int, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct word shingles of every text as setjoin takes them: 50 bits of their hashes."""
+    sets = list(word_hashes(arr.to_pylist(), words, {}))
+    v = setjoin.mix(np.concatenate([np.zeros(0, np.uint64), *sets])) >> np.uint64(14)
+    return setjoin.distinct(setjoin.ranked(v, rank), np.repeat(np.arange(len(sets), dtype=np.uint64), [len(x) for x in sets]), len(sets))
+
+
+def set_similarity(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """pairs (a, b) with ``similarity``, the exact overlap of their texts' word shingles; texts (id, text) are read for the ids of pairs only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            each = zip(*(word_hashes(b.column(i).to_pylist(), words, known) for i in (2, 3)))
+            both = [(x, y, len(np.intersect1d(x, y))) for x, y in ((np.unique(x), np.unique(y)) for x, y in each)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([k / max(1, len(x) + len(y) - k) for x, y, k in both], pa.float64())], names=["a", "b", "similarity"])
+
+    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    some = materialise(texts.join(need, "id", "left_semi").distinct())
+    both = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("similarity", T.DoubleType())]))
+
+
 def dedup_jaccard(df: DataFrame, text: str, id_col: str, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(id_a, id_b, similarity): pairs of different texts whose word shingles overlap by ``threshold`` or more; exact.
 

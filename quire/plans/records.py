@@ -15,6 +15,7 @@ from quire.operators import segment as S
 from quire.operators.running import running
 from quire.plans import sqlbits as B
 from quire.plans.texts import _MD, question_md
+from quire.session import materialise
 from quire.session import table as t
 
 NOW = "2024-01-15 00:00:00"
@@ -41,9 +42,22 @@ def bank_insert(s: SparkSession, d: str) -> DataFrame:
     return R.insert_new(b.join(scan, "doc_id", "left_anti"), b.join(scan, "doc_id", "left_semi"), "content")[1]
 
 
+def question_texts(s: SparkSession, d: str) -> DataFrame:
+    """(question_id, doc_id, content_md) of question_md by one shuffle: questions and blocks are grouped together, and redelivered rows collapse in the sets."""
+    q, b = t(s, d, "questions").drop("ingested_at"), t(s, d, "blocks")
+    b = b.filter("block_type = 'text' AND doc_id IS NOT NULL AND q_ord IS NOT NULL AND content IS NOT NULL").select("doc_id", "q_ord", F.struct("block_ord", "block_id", "content").alias("block"))
+    rest = F.struct(*[c for c in q.columns if c not in ("doc_id", "q_ord")]).alias("question")
+    # questions that no block can belong to don't meet in one group
+    q = q.select("doc_id", "q_ord", F.when(F.col("doc_id").isNull() | F.col("q_ord").isNull(), F.col("question_id")).alias("alone"), rest)
+    g = q.unionByName(b, allowMissingColumns=True).groupBy("doc_id", "q_ord", "alone").agg(F.collect_set("question").alias("qs"), F.array_sort(F.collect_set("block")).alias("bs"))
+    g = g.filter(F.size("qs") > 0).select("doc_id", F.explode("qs").alias("q"), F.transform("bs", lambda x: x["content"]).alias("body"))
+    opts = F.filter(F.coalesce("q.options", F.array().cast("array<string>")), lambda x: x.isNotNull())
+    return g.select("q.question_id", "doc_id", F.array_join(F.concat(F.array(F.coalesce("q.label", F.lit(""))), "body", opts), "\n").alias("content_md"))
+
+
 def bank_similar(s: SparkSession, d: str) -> DataFrame:
     """What becomes of every question offered to a bank of the loose items."""
-    q = question_md(s, d).select("question_id", "doc_id", "content_md")
+    q = materialise(question_texts(s, d))
     loose = F.coalesce(F.col("doc_id") == "bank-omnibus-0001", F.lit(False))
     r = R.insert_similar(q.filter(loose), q.filter(~loose), "content_md", "question_id")
     return r.select(F.col("id").alias("question_id"), "is_new", F.round("similarity", 9).alias("similarity"), "reason")

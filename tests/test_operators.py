@@ -357,3 +357,20 @@ def test_release(spark):
 
     df = materialise(spark.range(3))
     assert df.count() == 3 and release(spark) >= 1 and release(spark) == 0
+
+
+def test_insert_similar_shuffles_in_proportion(spark):
+    """Bytes shuffled by a query of some 100 KB of text: the shingles themselves aren't shuffled."""
+    import random
+
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) + str(rnd.randrange(900)) for _ in range(120)) for _ in range(100)]
+    rows = [(i, x) for i, x in enumerate(texts + [f"{x} more" for x in texts[:10]])]
+    df = spark.createDataFrame(rows, "id long, text string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))
+    before = sum(x.shuffleWriteBytes() for x in stages())
+    got = {r.id: (r.reason, r.match_id) for r in records.insert_similar(df.filter("id < 100"), df.filter("id >= 95"), "text", "id").collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got == {i: ("exact", i) if i < 100 else ("near_dup", i - 100) for i in range(95, 110)}
+    assert sum(x.shuffleWriteBytes() for x in stages()) - before < 4 * sum(len(x) for _, x in rows)
